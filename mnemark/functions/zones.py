@@ -32,20 +32,29 @@ def version() -> str:
         return "unknown"
 
 
+def _offset(moment: datetime, zone: ZoneInfo) -> int:
+    d = moment.astimezone(zone).utcoffset()
+    return d.days * 86400 + d.seconds
+
+
+@lru_cache(1)
+def _probes() -> list[tuple[int, datetime]]:
+    start, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR))
+    return [(t, datetime.fromtimestamp(t, timezone.utc)) for t in range(start, end, STEP)]
+
+
 def transitions(zone: ZoneInfo) -> tuple[np.ndarray, np.ndarray]:
     """Offset changes of a zone: (instants in seconds, offsets in seconds), the first entry holding from before FIRST_YEAR."""
-    offset = lambda t: int(datetime.fromtimestamp(t, timezone.utc).astimezone(zone).utcoffset().total_seconds())
-    start, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR))
-    at, offs, last = [-(2**62)], [offset(start)], offset(start)
-    for t in range(start + STEP, end, STEP):
-        if (o := offset(t)) != last:
+    offset = lambda t: _offset(datetime.fromtimestamp(t, timezone.utc), zone)
+    at, offs = [-(2**62)], [_offset(_probes()[0][1], zone)]
+    for t, moment in _probes()[1:]:
+        if (o := _offset(moment, zone)) != offs[-1]:
             lo, hi = t - STEP, t
             while hi - lo > 1:
                 mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
+                lo, hi = (mid, hi) if offset(mid) == offs[-1] else (lo, mid)
             at.append(hi)
             offs.append(o)
-            last = o
     return np.array(at, dtype=np.int64), np.array(offs, dtype=np.int64)
 
 

@@ -25,16 +25,16 @@ MONTHS = {
     **dict.fromkeys(("oct", "okt", "october", "oktober", "octobre", "octubre"), 10), **dict.fromkeys(("nov", "november", "novembre", "noviembre"), 11),
     **dict.fromkeys(("dec", "dez", "december", "dezember", "décembre", "decembre", "diciembre", "dic"), 12),
 }
-ZONE = r"(?:\s*(?P<z>Z|[+-]\d\d(?::?\d\d|'\d\d'?)?|[A-Za-z]{2,5}))?(?:\s*\((?P<c>[A-Za-z ]+)\))?(?:\[(?P<i>[A-Za-z_+\-/0-9]+)\])?"
+ZONE = r"(?:\s*(?P<z>[Zz]|[+-]\d\d(?::?\d\d|'\d\d'?)?|[A-Za-z]{2,5}))?(?:\s*\((?P<c>[A-Za-z ]+)\))?(?:\[(?P<i>[A-Za-z_+\-/0-9]+)\])?"
 TIME = r"(?P<H>\d{1,2}):(?P<M>\d\d)(?::(?P<S>\d\d)(?:[.,](?P<f>\d+))?)?(?:\s*(?P<p>[AaPp])\.?[Mm]\b\.?)?"
 #: Family: the mask's pattern, the text's pattern, and how its date is written.
 FAMILIES = [
     ("ymd", r"9999-99-99[a ]9.*", rf"(?P<y>\d{{4}})-(?P<m>\d\d)-(?P<d>\d\d)[Tt ]{TIME}{ZONE}"),
     ("ymd", r"9999:99:99 9.*", rf"(?P<y>\d{{4}}):(?P<m>\d\d):(?P<d>\d\d) {TIME}{ZONE}"),
-    ("ymd", r"99999999a999999.*", rf"(?P<y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)T(?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d)(?:[.,](?P<f>\d+))?{ZONE}"),
-    ("ymd", r"a:99999999999999.*", rf"D:(?P<y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)(?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d){ZONE}"),
-    ("ordinal", r"9999-999a9.*", rf"(?P<y>\d{{4}})-(?P<d>\d{{3}})T{TIME}{ZONE}"),
-    ("week", r"9999-a99-9a9.*", rf"(?P<y>\d{{4}})-W(?P<m>\d\d)-(?P<d>\d)T{TIME}{ZONE}"),
+    ("ymd", r"99999999a999999.*", rf"(?P<y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)[Tt](?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d)(?:[.,](?P<f>\d+))?{ZONE}"),
+    ("ymd", r"a:99999999999999.*", rf"[Dd]:(?P<y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)(?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d){ZONE}"),
+    ("ordinal", r"9999-999a9.*", rf"(?P<y>\d{{4}})-(?P<d>\d{{3}})[Tt]{TIME}{ZONE}"),
+    ("week", r"9999-a99-9a9.*", rf"(?P<y>\d{{4}})-[Ww](?P<m>\d\d)-(?P<d>\d)[Tt]{TIME}{ZONE}"),
     ("named", r"(?:a, )?99?\.? a 9999.*9.*", rf"(?:[^\W\d_]+, )?(?P<d>\d{{1,2}})\.? (?P<m>[^\W\d_]+)\.? (?P<y>\d{{4}}),? (?:(?:à|um|at) )?(?:(?P<h>\d{{1,2}})h(?P<n>\d\d)|{TIME})(?: Uhr)?{ZONE}"),
     ("named", r"a\.? 99?, 9999.*9.*", rf"(?P<m>[^\W\d_]+)\.? (?P<d>\d{{1,2}}), (?P<y>\d{{4}}),? (?:at )?{TIME}{ZONE}"),
     ("dmy", r"99?\.99?\.99(?:99)? 9.*", rf"(?P<d>\d{{1,2}})\.(?P<m>\d{{1,2}})\.(?P<y>\d{{4}}|\d\d),? {TIME}{ZONE}"),
