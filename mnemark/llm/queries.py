@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemark.llm import copies
+from mnemark.llm import copies, personal
 from mnemark.session import table
 
 
+def _lexicons(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
+    people = table(spark, sf_dir, "entities").filter("kind = 'person'").select(F.col("canonical_name").alias("name"))
+    return personal.name_lexicons(people, "name")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal.found(table(spark, sf_dir, "artifacts"), "id", "text_repr", _lexicons(spark, sf_dir))
+    return out.select(F.col("id").alias("artifact_id"), "pii_type", "pii_text")
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(table(spark, sf_dir, "artifacts"), "id", "text_repr", _lexicons(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copy_pairs(table(spark, sf_dir, "artifacts"), "id", "text_repr")
 
@@ -27,5 +41,5 @@ c AS (SELECT id, CASE WHEN is_record THEN list_aggregate(list_sort(list_transfor
 P7_FOUND_SQL = CANON_SQL + "SELECT first_id, id AS copy_id FROM (SELECT DISTINCT id, min(id) OVER (PARTITION BY k) AS first_id FROM c) WHERE id <> first_id"
 P7_RECORDS_SQL = CANON_SQL + "SELECT min(id) AS first_id, count(*) AS copies FROM c GROUP BY k"
 
-QUERIES = {"p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_records": p7_records}
 SQL = {"p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}
