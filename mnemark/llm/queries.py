@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemark.llm import copies, personal
+from mnemark.llm import copies, personal, survivors
 from mnemark.session import table
 
 
@@ -22,6 +22,18 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redacted(table(spark, sf_dir, "artifacts"), "id", "text_repr", _lexicons(spark, sf_dir))
 
 
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(*(table(spark, sf_dir, t) for t in ("entities", "entity_aliases", "source_profiles")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.same_person_pairs(_people(spark, sf_dir))
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.best_records(_people(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copy_pairs(table(spark, sf_dir, "artifacts"), "id", "text_repr")
 
@@ -41,5 +53,5 @@ c AS (SELECT id, CASE WHEN is_record THEN list_aggregate(list_sort(list_transfor
 P7_FOUND_SQL = CANON_SQL + "SELECT first_id, id AS copy_id FROM (SELECT DISTINCT id, min(id) OVER (PARTITION BY k) AS first_id FROM c) WHERE id <> first_id"
 P7_RECORDS_SQL = CANON_SQL + "SELECT min(id) AS first_id, count(*) AS copies FROM c GROUP BY k"
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_records": p7_records}
 SQL = {"p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}
