@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemark.llm import copies, leaks, mixing, personal, survivors
+from mnemark.llm import copies, leaks, mixing, personal, subjects, survivors
 from mnemark.session import table
 
 
@@ -58,6 +58,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subject_list"))).distinct()
+
+
 # Canonical form in SQL: letters and digits alone; a record's fields sorted.
 CANON_SQL = """
 WITH t AS (SELECT id, text_repr AS x, regexp_split_to_array(trim(regexp_replace(text_repr, '^[\\s{]+|[\\s}]+$', '', 'g')), '[;|\\n]|",') AS parts FROM artifacts WHERE text_repr IS NOT NULL),
@@ -69,5 +73,5 @@ c AS (SELECT id, CASE WHEN is_record THEN list_aggregate(list_sort(list_transfor
 P7_FOUND_SQL = CANON_SQL + "SELECT first_id, id AS copy_id FROM (SELECT DISTINCT id, min(id) OVER (PARTITION BY k) AS first_id FROM c) WHERE id <> first_id"
 P7_RECORDS_SQL = CANON_SQL + "SELECT min(id) AS first_id, count(*) AS copies FROM c GROUP BY k"
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL = {"p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}
