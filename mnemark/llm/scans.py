@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -32,13 +33,14 @@ TRAIN_WORDS, TRAIN_FORMS = 600, 3
 SURE = 0.5
 MAPPING_BROADCAST = 300_000
 # Letters that scanned pages take for others. Longer ones first.
-CONFUSED = [("rn", "m"), ("m", "rn"), ("w", "vv"), ("u", "ii"), ("d", "cl"), ("e", "c"), ("c", "e"), ("a", "o"), ("h", "b"), ("t", "f"), ("i", "l"), ("l", "1"), ("o", "0"), ("b", "6"), ("g", "q"), ("1", "l"), ("0", "O"), ("s", "5"), ("l", "I"), ("n", "u")]
+CONFUSED = [("rn", "m"), ("m", "rn"), ("w", "vv"), ("u", "ii"), ("d", "cl"), ("e", "c"), ("c", "e"), ("a", "o"), ("h", "b"), ("t", "f"), ("i", "l"), ("l", "1"), ("o", "0"), ("b", "6"), ("g", "q"), ("1", "l"), ("0", "O"), ("s", "5"), ("l", "I"), ("n", "u"), ("fi", "ﬁ"), ("fl", "ﬂ")]
 FEATURES = ["edits", "folded_edits", "longer", "shared", "rarer", "same_first", "size"]
 
 TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 HYPHEN = re.compile(r"([^\W_]+(?:['’\-][^\W_]+)*)[-‐­¬]$")
 FIRST = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 NUMBER = re.compile(r"[\[({\-–—\s.|]*(?:(?:page|pag\.?|pg\.?|p\.|seite|s\.|página|folio)\s*)?(?:[0-9lIOo]{1,4}|[ivxl]{1,6}|[IVXL]{1,6})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOo]{1,4})?[\])}\-–—\s.|]*", re.I)
+LETTERS_ONLY = re.compile(r"[xX]{0,3}(?:[iI][xXvV]|[vV]?[iI]{0,3})|[lI]{1,2}|(?:page|p\.) .+", re.I)
 PLAIN = re.compile(r"\d{1,4}[.)]?")
 TITLE = re.compile(r"[\"“”„«»]([^\"“”„«»]{3,200})[\"“”„«»]")
 DECORATION = "—–-~*=|_· \t[]()"
@@ -56,7 +58,7 @@ def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None
     text runs on around it, and whether it comes again or is the title."""
     kinds: list[str | None] = [None] * len(lines)
     stripped = [x.strip() for x in lines]
-    numbers = [i for i, s in enumerate(stripped) if s and NUMBER.fullmatch(s)]
+    numbers = [i for i, s in enumerate(stripped) if s and NUMBER.fullmatch(s) and (any(c.isdigit() for c in s) or not s[0].isalpha() or LETTERS_ONLY.fullmatch(s))]
     plain = [i for i in numbers if PLAIN.fullmatch(stripped[i])]
     if plain and plain == numbers and int(re.sub(r"\D", "", stripped[plain[0]])) == 1:
         # A numbered list: counted from one, with one whole sentence under each number.
@@ -69,22 +71,25 @@ def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None
     sizes = sorted(len(s) for i, s in enumerate(stripped) if s and not kinds[i])
     width = sizes[int(len(sizes) * 0.85)] if sizes else 0
     bare = [_bare(x) for x in lines]
-    again = {b for b in bare if b and bare.count(b) > 1} if len(lines) < 5000 else set()
+    again = {b for b, n in Counter(bare).items() if b and n > 1}
     name = title.translate(LOOKALIKE).casefold()
+    name_words = set(name.split())
     body = [i for i, s in enumerate(stripped) if s and not kinds[i]]
     for n, i in enumerate(body):
         s = stripped[i]
+        if s[-1] == "." and s[0].islower():
+            continue
         words = TOKEN.findall(s)
         if not any(len(w) > 1 and not w.isdigit() for w in words):
             continue
         closed = s[-1] in ".!?:;,…\"'”)"
-        titled = bool(name) and (bare[i] == name or (abs(len(bare[i]) - len(name)) < 8 and SequenceMatcher(None, bare[i], name, autojunk=False).ratio() > 0.85))
+        titled = bool(name) and (bare[i] == name or (not closed and abs(len(bare[i]) - len(name)) < 8 and len(name_words.intersection(bare[i].split())) > 1 and SequenceMatcher(None, bare[i], name, autojunk=False).ratio() > 0.85))
         decorated = s[0] in "—–-~*=|" and s[-1] in "—–-~*=|"
         before = stripped[body[n - 1]] if n else ""
         after = stripped[body[n + 1]] if n + 1 < len(body) else ""
         runs_on = bool(before) and before[-1] not in ".!?…\"'”"
         score = 4 * titled + 3 * decorated + 1.5 * (lines[i][:3].isspace() and len(lines[i]) > 3) + 2 * (bare[i] in again and len(words) <= 9)
-        score += 2 * (not closed and len(s) < 0.72 * width) + 1.0 * (i in breaks or not stripped[i - 1] if i else True) + 1.0 * runs_on + 0.5 * after[:1].islower()
+        score += 3 * (not closed and len(s) < 0.72 * width) + 1.0 * (i in breaks or not stripped[i - 1] if i else True) + 1.0 * runs_on + 0.5 * after[:1].islower()
         score -= 4 * closed + 3 * s[0].islower() + 2 * (len(words) > 9) + 2 * bool(HYPHEN.search(s))
         if score >= 3:
             kinds[i] = "header"
@@ -112,7 +117,7 @@ def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[
         end = h.start() if b else len(line)
         words.update(TOKEN.findall(line, skip, end))
         skip = 0
-        if b:
+        if b and (b[0][0].islower() or not b[0][0].isalpha() or h[1][-1].isupper()):
             broken.append((h[1], b[0]))
             skip = b.end()
     return sorted(set(headers)), sorted(set(pages)), broken, sorted(words), body
@@ -132,7 +137,7 @@ def parsed(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def lookalike(w: Column) -> Column:
     """One form for words that a scanner may take for each other."""
-    for a, b in (("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d")):
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d")):
         w = F.replace(w, F.lit(a), F.lit(b))
     return F.translate(w, "ca0h6fi1jq95", "eoobbtlllggs")
 
