@@ -37,6 +37,7 @@ CONFUSED = [("rn", "m"), ("m", "rn"), ("w", "vv"), ("u", "ii"), ("d", "cl"), ("e
 FEATURES = ["edits", "folded_edits", "longer", "shared", "rarer", "same_first", "size"]
 
 TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+HYPHENS = "-‐­¬"
 HYPHEN = re.compile(r"([^\W_]+(?:['’\-][^\W_]+)*)[-‐­¬]$")
 FIRST = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 NUMBER = re.compile(r"[\[({\-–—\s.|]*(?:(?:page|pag\.?|pg\.?|p\.|seite|s\.|página|folio)\s*)?(?:[0-9lIOo]{1,4}|[ivxl]{1,6}|[IVXL]{1,6})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOo]{1,4})?[\])}\-–—\s.|]*", re.I)
@@ -90,7 +91,7 @@ def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None
         runs_on = bool(before) and before[-1] not in ".!?…\"'”"
         score = 4 * titled + 3 * decorated + 1.5 * (lines[i][:3].isspace() and len(lines[i]) > 3) + 2 * (bare[i] in again and len(words) <= 9)
         score += 3 * (not closed and len(s) < 0.72 * width) + 1.0 * (i in breaks or not stripped[i - 1] if i else True) + 1.0 * runs_on + 0.5 * after[:1].islower()
-        score -= 4 * closed + 3 * s[0].islower() + 2 * (len(words) > 9) + 2 * bool(HYPHEN.search(s))
+        score -= 4 * closed + 3 * s[0].islower() + 2 * (len(words) > 9) + 2 * (s[-1] in HYPHENS)
         if score >= 3:
             kinds[i] = "header"
     return kinds
@@ -112,7 +113,7 @@ def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[
     broken, words = [], set()
     skip = 0
     for n, line in enumerate(body):
-        h = HYPHEN.search(line) if n + 1 < len(body) else None
+        h = HYPHEN.search(line) if n + 1 < len(body) and line[-1] in HYPHENS else None
         b = FIRST.match(body[n + 1]) if h else None
         end = h.start() if b else len(line)
         words.update(TOKEN.findall(line, skip, end))
