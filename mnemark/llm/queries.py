@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemark.llm import copies, leaks, mixing, personal, scans, subjects, survivors
+from mnemark.llm import copies, leaks, mixing, neighbours, personal, scans, subjects, survivors
 from mnemark.session import table
 
 
@@ -39,6 +39,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noise(scanned, "id", "text_repr").select(F.col("id").alias("artifact_id"), "noise_type", "noise_text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.knn(table(spark, sf_dir, "vec_artifacts"), "artifact_id", "embedding")
+    return neighbours.neighbour_pairs(near).select(F.col("a").alias("artifact_id_a"), F.col("b").alias("artifact_id_b"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copy_pairs(table(spark, sf_dir, "artifacts"), "id", "text_repr")
 
@@ -78,5 +83,5 @@ c AS (SELECT id, CASE WHEN is_record THEN list_aggregate(list_sort(list_transfor
 P7_FOUND_SQL = CANON_SQL + "SELECT first_id, id AS copy_id FROM (SELECT DISTINCT id, min(id) OVER (PARTITION BY k) AS first_id FROM c) WHERE id <> first_id"
 P7_RECORDS_SQL = CANON_SQL + "SELECT min(id) AS first_id, count(*) AS copies FROM c GROUP BY k"
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL = {"p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}
