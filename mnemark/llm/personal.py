@@ -68,6 +68,8 @@ ONE_WORD = re.compile(rf"{LETTER}{{2,}}(?:['’\-]{LETTER}+)*")
 SURNAME_BEFORE = re.compile(rf"({LETTER}{{2,}}(?:['’\-]{LETTER}+)*),{GAP}$")
 #: Widest text taken on one side of an anchor: a local part has at most 64 characters, a street line not more than 120.
 REACH = 160
+#: More than the longest number with its extension.
+LONGEST = 64
 
 
 @lru_cache(1)
@@ -110,7 +112,8 @@ class Finder:
             else:
                 streets.append(start)
         for a, b in numbers:
-            found += [(m.start(), m.end(), ID_NUMBER) for m in IDS.finditer(text, a, b)] + [(m.start(), m.end(), PHONE) for m in PHONES.finditer(text, a, b) if self._phone(m[0])]
+            found += [(m.start(), m.end(), ID_NUMBER) for m in IDS.finditer(text, a, b + LONGEST) if m.start() < b]
+            found += [(m.start(), m.end(), PHONE) for m in PHONES.finditer(text, a, b + LONGEST) if m.start() < b and self._phone(m[0])]
         done = 0
         for s in streets:
             if s >= done:

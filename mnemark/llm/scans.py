@@ -207,10 +207,11 @@ def replacements(words: DataFrame, docs: int, seed: int = 11) -> DataFrame:
     least = max(GOOD_DOCS, GOOD_SHARE * docs)
     good = counts.filter(F.col("n") >= least).select(F.col("w").alias("c"), F.col("n").alias("m"))
     model = ranking(good, seed)
-    if model is None:
-        return counts.select("w", F.col("w").alias("c")).limit(0)
     top = counts.agg(F.max("n")).first()[0] or 0
-    scored = model.transform(with_features(candidates(counts.filter(F.col("n") * RARER <= top), good))).withColumn("p", vector_to_array("probability")[1]).filter(F.col("p") >= SURE)
+    pairs = with_features(candidates(counts.filter(F.col("n") * RARER <= top), good))
+    # Where no two frequent words are alike there is nothing to rank: a form has its one look-alike.
+    p = pairs.withColumn("p", (F.col("folded_edits") == 0).cast("double")) if model is None else model.transform(pairs).withColumn("p", vector_to_array("probability")[1])
+    scored = p.filter(F.col("p") >= SURE)
     best = scored.groupBy("w").agg(F.max_by("c", F.struct("p", -F.col("folded_edits"), "m", "c")).alias("c"))
     # A replacement that is itself a misread form stands for its own word.
     return best.alias("x").join(best.select(F.col("w").alias("c"), F.col("c").alias("further")), "c", "left").select("w", F.coalesce("further", "c").alias("c"))

@@ -95,7 +95,8 @@ def ranked(entities: DataFrame, profiles: DataFrame) -> DataFrame:
     return p.join(F.broadcast(profiles.dropDuplicates(["source"]).select("source", "trust_rank")), "source", "left")  # a fixed table of 11 rows
 
 
-BEST_FIRST = [F.col("changed").desc_nulls_last(), F.col("usable_fields").desc(), F.col("trust_rank").asc_nulls_last(), F.col("id").asc()]
+def best_first() -> list[Column]:
+    return [F.col("changed").desc_nulls_last(), F.col("usable_fields").desc(), F.col("trust_rank").asc_nulls_last(), F.col("id").asc()]
 
 
 def survivors(entities: DataFrame, aliases: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def survivors(entities: DataFrame, aliases: DataFrame, profiles: DataFrame) -> D
     tied = components(memberships(contacts(entities, aliases)))
     live = ranked(entities, profiles).join(tied, "id", "left").withColumn("person", F.coalesce("person", "id"))
     live = cut(live)
-    top = live.withColumn("_n", F.row_number().over(W.partitionBy("person").orderBy(*BEST_FIRST))).filter("_n = 1").select("person", F.col("id").alias("keep_id"))
+    top = live.withColumn("_n", F.row_number().over(W.partitionBy("person").orderBy(*best_first()))).filter("_n = 1").select("person", F.col("id").alias("keep_id"))
     return live.join(top, "person")
 
 
