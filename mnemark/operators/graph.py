@@ -117,3 +117,14 @@ def orphans(links: DataFrame, aliases: DataFrame, artifacts: DataFrame, entities
     part = lambda name, df: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("problem"), "rows")
     m = entities.filter("merged_into IS NOT NULL").select(F.col("merged_into").alias("entity_id"))
     return part("link without entity", links.join(e, "entity_id", "left_anti")).unionByName(part("link without artifact", links.join(a, "artifact_id", "left_anti"))).unionByName(part("alias without entity", aliases.join(e, "entity_id", "left_anti"))).unionByName(part("merge without entity", m.join(e, "entity_id", "left_anti")))
+
+
+def phones_to_add(aliases: DataFrame) -> DataFrame:
+    """(entity_id, phone, collides): bare forms of phone aliases that the entity lacks, and whether another entity has them. Nothing is
+    left to add once they are added."""
+    p = aliases.filter("alias_type = 'phone'").select("entity_id", "alias", S.norm_phone(F.col("alias")).alias("phone")).distinct()
+    have = p.select("entity_id", F.col("alias").alias("phone")).distinct()
+    add = p.filter((F.col("alias") != F.col("phone")) & (F.length("phone") >= model.PHONE_DIGITS)).select("entity_id", "phone").distinct().join(have, ["entity_id", "phone"], "left_anti")
+    owners = have.groupBy("phone").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    taken = (F.col("lo") != F.col("entity_id")) | (F.col("hi") != F.col("entity_id"))
+    return add.join(owners, "phone", "left").select("entity_id", "phone", F.coalesce(taken, F.lit(False)).alias("collides"))

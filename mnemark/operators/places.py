@@ -20,6 +20,15 @@ def reverse_geocode(artifacts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return pts.withColumn("spot", F.concat_ws(",", "latitude", "longitude")).join(best, "spot").select(F.col("id").alias("artifact_id"), label.alias("label"), F.col("b.km").alias("km"))
 
 
+def forward_geocode(artifacts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(place_label, entity_id, artifacts): the live place of smallest id whose name begins with the label, and how many artifacts bear it.
+    Names are exploded into their beginnings, labels are counted first, so the join is on equality and small."""
+    labels = artifacts.filter("place_label IS NOT NULL").groupBy("place_label").agg(F.count("*").alias("artifacts"))
+    names = entities.filter("kind = 'place' AND merged_into IS NULL").select("id", S.norm_name(F.col("canonical_name")).alias("name"))
+    starts = names.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", F.lit(1), n))).alias("start")).groupBy("start").agg(F.min("id").alias("entity_id"))
+    return labels.withColumn("start", S.norm_name(F.col("place_label"))).join(starts, "start").select("place_label", "entity_id", "artifacts")
+
+
 def clusters(artifacts: DataFrame) -> DataFrame:
     """(cell_lat, cell_lon, n, latitude, longitude): cells of two decimals with five or more points, and their centres."""
     pts = artifacts.filter(spatial.valid_position(F.col("latitude"), F.col("longitude")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemark import model
 from mnemark.functions import scalars as S
-from mnemark.operators import graph, ingest, places, search, spatial
+from mnemark.operators import annotate, graph, ingest, places, search, spatial
 from mnemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,3 +391,40 @@ def needs_ocr(spark, d):  # noqa: ANN001, ANN201
     n = F.regexp_extract("text_repr", r"(?i)\((?:pdf), *([0-9]+) pages\)", 1)
     p = table(spark, d, "artifacts").filter("type = 'document'").select(F.col("id").alias("artifact_id"), n.try_cast("int").alias("pages"), F.length(F.regexp_replace("text_repr", r"[ \n\r\t\f\x0B]", "")).alias("chars"))
     return p.filter("pages IS NOT NULL").select("artifact_id", "pages", (F.col("chars") < model.OCR_CHARS_A_PAGE * F.col("pages")).alias("needs_ocr"))
+
+
+HANDLE_SQL = annotate.HANDLE.replace("'", "''")
+KEY_SQL = f"CASE WHEN contains(token, '@') THEN 'email:' || {NORM.format('token')} WHEN length({DIGITS.format('token')}) >= 7 THEN 'phone:' || {DIGITS.format('token')} END"
+
+
+@register(f"""WITH {ALIASES}, t AS (SELECT id, regexp_extract_all(text_repr, '{HANDLE_SQL}') AS toks, regexp_split_to_array(text_repr, '{HANDLE_SQL}') AS parts FROM artifacts),
+ u AS (SELECT id, parts, unnest(toks) AS token, generate_subscripts(toks, 1) AS i FROM t), k AS (SELECT id, token, i, parts, {KEY_SQL} AS key FROM u),
+ o AS (SELECT DISTINCT k.id, k.token, l.entity_id FROM k JOIN a ON a.alias_type || ':' || a.alias = k.key AND a.alias_type IN ('email', 'phone') JOIN entity_links l ON l.artifact_id = k.id AND l.entity_id = a.entity_id),
+ n AS (SELECT id, token, min(entity_id) AS entity_id FROM o GROUP BY id, token HAVING count(*) = 1), m AS (SELECT n.id, token, canonical_name FROM n JOIN entities e ON e.id = n.entity_id)
+ SELECT k.id AS artifact_id, string_agg(parts[i] || COALESCE(canonical_name || ' (' || k.token || ')', k.token), '' ORDER BY i) || first(parts[len(parts)]) AS display_text FROM k LEFT JOIN m ON m.id = k.id AND m.token = k.token WHERE k.id IN (SELECT id FROM m) GROUP BY k.id""")
+def handle_annotation(spark, d):  # noqa: ANN001, ANN201
+    return annotate.annotated(*tables(spark, d, "artifacts", "entity_links", "entities", "entity_aliases"))
+
+
+@register(f"SELECT a.place_label, min(e.id) AS entity_id, count(DISTINCT a.id) AS artifacts FROM artifacts a JOIN entities e ON e.kind = 'place' AND e.merged_into IS NULL AND starts_with({NORM.format('e.canonical_name')}, {NORM.format('a.place_label')}) GROUP BY 1")
+def forward_geocode(spark, d):  # noqa: ANN001, ANN201
+    art, ent = tables(spark, d, "artifacts", "entities")
+    return places.forward_geocode(art, ent)
+
+
+@register(f"WITH p AS (SELECT DISTINCT entity_id, alias, {DIGITS.format('alias')} AS phone FROM entity_aliases WHERE alias_type = 'phone'), b AS (SELECT DISTINCT entity_id, phone FROM p WHERE alias <> phone AND length(phone) >= 7 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.entity_id = p.entity_id AND q.alias = p.phone)) SELECT entity_id, phone, EXISTS (SELECT 1 FROM p q WHERE q.alias = b.phone AND q.entity_id <> b.entity_id) AS collides FROM b")
+def backfill_phones(spark, d):  # noqa: ANN001, ANN201
+    return graph.phones_to_add(table(spark, d, "entity_aliases"))
+
+
+@register("SELECT type, count(*) AS artifacts, count(*) FILTER (id IN (SELECT artifact_id FROM vec_artifacts WHERE len(embedding) = 64)) AS with_vector FROM artifacts GROUP BY type")
+def vector_coverage(spark, d):  # noqa: ANN001, ANN201
+    art, vec = tables(spark, d, "artifacts", "vec_artifacts")
+    v = vec.filter(F.size("embedding") == 64).select(F.col("artifact_id").alias("id")).distinct().withColumn("has", F.lit(1))
+    return art.select("id", "type").join(v, "id", "left").groupBy("type").agg(F.count("*").alias("artifacts"), F.count("has").alias("with_vector"))
+
+
+@register(f"WITH {ALIASES}, s AS (SELECT alias_type, alias, count(DISTINCT entity_id) AS n FROM a GROUP BY 1, 2) SELECT alias_type, count(*) AS aliases, count(*) FILTER (n > 1) AS conflicts, max(n) AS most FROM s GROUP BY 1")
+def alias_conflicts(spark, d):  # noqa: ANN001, ANN201
+    s = graph.normal_aliases(table(spark, d, "entity_aliases")).groupBy("alias_type", "alias").agg(F.count("*").alias("n"))
+    return s.groupBy("alias_type").agg(F.count("*").alias("aliases"), F.count(F.when(F.col("n") > 1, 1)).alias("conflicts"), F.max("n").alias("most"))
