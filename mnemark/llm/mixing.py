@@ -13,7 +13,9 @@ from mnemark.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 512  # a source's documents are laid out over so many tasks; their sums (BUCKETS rows a source) are prefix-summed first
+#: Documents of a source are laid out by size class (quarter powers of two), and each class over so many tasks; their counts, at most some
+#: hundred times SPLITS rows a source, are prefix-summed first. Along the sizes a systematic sample takes its share of each.
+SPLITS = 64
 
 
 @lru_cache(2)
@@ -57,15 +59,15 @@ def rates(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 
 
 def mixture(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """(id, source, tokens, copies): each source's documents stand in a fixed hashed order, their expected copies are prefix-summed, one
+    """(id, source, tokens, copies): each source's documents stand in a fixed order by size and hash, their expected copies are prefix-summed, one
     random offset per source is added, and a document is taken once for each integer boundary that its stretch crosses. Documents
     that cross none are left out; none is taken more than max_repeats times."""
     order = F.xxhash64(F.lit(seed), F.col("id"))
-    d = sized.join(F.broadcast(plan.filter("rate > 0").select("source", "rate")), "source").withColumn("_h", order).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)))
+    d = sized.join(F.broadcast(plan.filter("rate > 0").select("source", "rate")), "source").withColumn("_h", order).withColumn("_bucket", F.floor(F.log2("tokens") * 4).cast("long") * SPLITS + F.pmod("_h", F.lit(SPLITS)))
     per = d.groupBy("source", "_bucket").agg(F.count("*").alias("n"))
     before = per.withColumn("_before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source", "_bucket", "_before")
-    rank = F.row_number().over(W.partitionBy("source", "_bucket").orderBy("_h", "id"))
-    d = d.withColumn("_r", rank).join(F.broadcast(before), ["source", "_bucket"])  # at most BUCKETS rows a source
+    rank = F.row_number().over(W.partitionBy("source", "_bucket").orderBy("tokens", "_h", "id"))
+    d = d.withColumn("_r", rank).join(F.broadcast(before), ["source", "_bucket"])  # bounded, see SPLITS
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     end = (F.col("_before") + F.col("_r")) * F.col("rate") + offset
     start = (F.col("_before") + F.col("_r") - 1) * F.col("rate") + offset
