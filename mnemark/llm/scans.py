@@ -26,6 +26,8 @@ from mnemark.session import broadcast_if_small, cut
 GOOD_SHARE, GOOD_DOCS = 0.0005, 3
 #: A misread form is at least so many times rarer than its word.
 RARER = 5
+#: And so many times where no known confusion makes it of the word.
+FAR_RARER = 500
 #: Least share of the q-grams of the longer look-alike form that both forms have.
 SHARED_GRAMS = 0.5
 #: Frequent words whose corruptions train the ranking, and corruptions of each.
@@ -45,6 +47,7 @@ LETTERS_ONLY = re.compile(r"[xX]{0,3}(?:[iI][xXvV]|[vV]?[iI]{0,3})|[lI]{1,2}|(?:
 PLAIN = re.compile(r"\d{1,4}[.)]?")
 TITLE = re.compile(r"[\"“”„«»]([^\"“”„«»]{3,200})[\"“”„«»]")
 DECORATION = "—–-~*=|_· \t[]()"
+CAPITALS, MARK = "0158l", "^"  # what a misread capital looks like
 LOOKALIKE = str.maketrans("0156", "olsb")
 
 
@@ -75,6 +78,8 @@ def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None
     again = {b for b, n in Counter(bare).items() if b and n > 1}
     name = title.translate(LOOKALIKE).casefold()
     name_words = set(name.split())
+    # In wrapped text a short line ends a paragraph. Where one runs on in lower case, the lines aren't those of a page.
+    ragged = any(s and s[0].islower() and s[-1] not in ".!?:;,…\"'”)" + HYPHENS and len(s) < 0.72 * width for i, s in enumerate(stripped[:-1]) if not kinds[i])
     body = [i for i, s in enumerate(stripped) if s and not kinds[i]]
     for n, i in enumerate(body):
         s = stripped[i]
@@ -90,7 +95,7 @@ def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None
         after = stripped[body[n + 1]] if n + 1 < len(body) else ""
         runs_on = bool(before) and before[-1] not in ".!?…\"'”"
         score = 4 * titled + 3 * decorated + 1.5 * (lines[i][:3].isspace() and len(lines[i]) > 3) + 2 * (bare[i] in again and len(words) <= 9)
-        score += 3 * (not closed and len(s) < 0.72 * width) + 1.0 * (i in breaks or not stripped[i - 1] if i else True) + 1.0 * runs_on + 0.5 * after[:1].islower()
+        score += 3 * (not closed and not ragged and len(s) < 0.72 * width) + 1.0 * (i in breaks or not stripped[i - 1] if i else True) + 1.0 * runs_on + 0.5 * after[:1].islower()
         score -= 4 * closed + 3 * s[0].islower() + 2 * (len(words) > 9) + 2 * (s[-1] in HYPHENS)
         if score >= 3:
             kinds[i] = "header"
@@ -116,7 +121,13 @@ def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[
         h = HYPHEN.search(line) if n + 1 < len(body) and line[-1] in HYPHENS else None
         b = FIRST.match(body[n + 1]) if h else None
         end = h.start() if b else len(line)
-        words.update(TOKEN.findall(line, skip, end))
+        for m in TOKEN.finditer(line, skip, end):
+            w = m[0]
+            if w[0] in CAPITALS and w[1:].islower():
+                # Misread capitals are told by their place: a mark says that a sentence begins here.
+                ahead = line[: m.start()].rstrip() or (body[n - 1] if n else ".")
+                w = MARK + w if ahead[-1] in ".!?" else w
+            words.add(w)
         skip = 0
         if b and (b[0][0].islower() or not b[0][0].isalpha() or h[1][-1].isupper()):
             broken.append((h[1], b[0]))
@@ -137,10 +148,10 @@ def parsed(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def lookalike(w: Column) -> Column:
-    """One form for words that a scanner may take for each other."""
-    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d")):
+    """One form for words that a scanner may take for each other: wide letters as the pair that they look like, the others by shape."""
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("m", "rn"), ("w", "vv"), ("u", "ii"), ("d", "cl")):
         w = F.replace(w, F.lit(a), F.lit(b))
-    return F.translate(w, "ca0h6fi1jq95", "eoobbtlllggs")
+    return F.translate(w, "ca0h68fi1jq95", "eoobbbtlllggs")
 
 
 def grams(w: Column) -> Column:
@@ -201,17 +212,18 @@ def ranking(good: DataFrame, seed: int):  # noqa: ANN201
     return GBTClassifier(maxIter=12, maxDepth=4, seed=seed).fit(train)
 
 
-def replacements(words: DataFrame, docs: int, seed: int = 11) -> DataFrame:
-    """(w, c): misread forms and their words, from (id, word) rows; counts are over all documents."""
-    counts = cut(words.groupBy(F.lower("word").alias("w")).agg(F.count("*").alias("n")))
+def replacements(counts: DataFrame, docs: int, seed: int = 11) -> DataFrame:
+    """(w, c): misread forms and their words, from (w, n), the number of documents of each form."""
     least = max(GOOD_DOCS, GOOD_SHARE * docs)
     good = counts.filter(F.col("n") >= least).select(F.col("w").alias("c"), F.col("n").alias("m"))
     model = ranking(good, seed)
     top = counts.agg(F.max("n")).first()[0] or 0
-    pairs = with_features(candidates(counts.filter(F.col("n") * RARER <= top), good))
+    # A number can't be told from another, so only forms with a letter are looked at.
+    pairs = with_features(candidates(counts.filter((F.col("n") * RARER <= top) & F.col("w").rlike(r"\p{L}")), good))
     # Where no two frequent words are alike there is nothing to rank: a form has its one look-alike.
     p = pairs.withColumn("p", (F.col("folded_edits") == 0).cast("double")) if model is None else model.transform(pairs).withColumn("p", vector_to_array("probability")[1])
-    scored = p.filter(F.col("p") >= SURE)
+    # Whatever the trees say, forms that no known confusion explains must be rarer by far: rare words aren't misread ones.
+    scored = p.filter((F.col("p") >= SURE) & ((F.col("folded_edits") == 0) | (F.col("m") >= FAR_RARER * F.col("n"))))
     best = scored.groupBy("w").agg(F.max_by("c", F.struct("p", -F.col("folded_edits"), "m", "c")).alias("c"))
     # A replacement that is itself a misread form stands for its own word.
     return best.alias("x").join(best.select(F.col("w").alias("c"), F.col("c").alias("further")), "c", "left").select("w", F.coalesce("further", "c").alias("c"))
@@ -219,6 +231,7 @@ def replacements(words: DataFrame, docs: int, seed: int = 11) -> DataFrame:
 
 def in_case(word: Column, like: Column) -> Column:
     letters = F.regexp_replace(like, r"[^\p{L}]", "")
+    like = F.regexp_replace(F.regexp_replace(like, r"^\^.", "X"), r"^[58](?=\p{L}{2})", "X")  # only the capitals B and S look so
     return F.when((letters == F.upper(letters)) & (F.length(letters) > 1), F.upper(word)).when(F.substring(like, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(word, 1, 1)), F.expr("substring(c, 2)"))).otherwise(word)
 
 
@@ -231,12 +244,13 @@ def noise(df: DataFrame, id_col: str, text: str) -> DataFrame:
     pages = cut(parsed(df, id_col, text))
     lines = lambda field, kind: pages.select("id", F.lit(kind).alias("noise_type"), F.explode(field).alias("noise_text"))
     words = pages.select("id", F.explode("words").alias("word"))
-    counts = cut(words.groupBy(F.lower("word").alias("w")).agg(F.count("*").alias("n")))
+    bare = F.ltrim(F.lower("word"), F.lit(MARK))
+    counts = cut(words.groupBy(bare.alias("w")).agg(F.count("*").alias("n")))
     b = pages.select("id", F.explode("broken").alias("x")).select("id", F.concat("x.a", "x.b").alias("whole"), F.concat("x.a", F.lit("-"), "x.b").alias("kept"))
     b = b.withColumn("lw", F.lower("whole")).withColumn("lk", F.lower("kept"))
     b = b.join(counts.select(F.col("w").alias("lw"), F.col("n").alias("nw")), "lw", "left").join(counts.select(F.col("w").alias("lk"), F.col("n").alias("nk")), "lk", "left")
     hyphens = b.select("id", F.lit("hyphen").alias("noise_type"), F.when(F.coalesce("nk", F.lit(0)) > F.coalesce("nw", F.lit(0)), F.col("kept")).otherwise(F.col("whole")).alias("noise_text"))
-    mapping = cut(replacements(words, pages.count()))
-    found = words.withColumn("w", F.lower("word")).join(broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST), "w")
+    mapping = cut(replacements(counts, pages.count()))
+    found = words.withColumn("w", bare).join(broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST), "w")
     misread = found.select("id", F.lit("misread").alias("noise_type"), in_case(F.col("c"), F.col("word")).alias("noise_text"))
     return lines("headers", "header").unionByName(lines("pages", "page_number")).unionByName(hyphens).unionByName(misread).distinct()

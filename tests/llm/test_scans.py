@@ -23,3 +23,8 @@ def test_noise(spark):
     got = {(r.id, r.noise_type, r.noise_text) for r in scans.noise(df, "id", "text").collect()}
     assert got == {(500, "hyphen", "half-finished"), (500, "misread", "morning"), (500, "misread", "early"), (504, "misread", "Nothing")}
     assert scans.noise(df.limit(0), "id", "text").count() == 0
+
+
+def test_misread_capitals():
+    words = scans.parse("Document\n5omebody left. lt was 8etween us, lt is.")[3]
+    assert words == sorted(["^5omebody", "left", "^lt", "was", "8etween", "us", "lt", "is"])
