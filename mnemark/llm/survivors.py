@@ -10,6 +10,7 @@ from mnemark.session import cut, join_hot
 PLACEHOLDERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "unknown", "tbd", "unbekannt", "inconnu", "desconocido"]
 FIELDS = ["nickname", "birthday", "address", "title", "org", "url", "note"]
 MAX_ROUNDS = 50
+PIECE = 50_000  # rows of one key that a task may get
 
 
 def attr(name: str) -> Column:
@@ -69,18 +70,20 @@ def memberships(people_contacts: DataFrame) -> DataFrame:
 
 def components(members: DataFrame) -> DataFrame:
     """(id, person): the smallest id reachable through shared keys. Labels travel from records to keys and back, and jump to the label of
-    their label; each round is cut. The number of rounds follows the longest chain's logarithm, and hot keys are spread over tasks."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    total = members.count()
-    state = cut(join_hot(members, sizes.filter("n > 1"), "key", "n", F.col("id"), total).select("id", "key", F.col("id").alias("label")))
+    their label; each round is cut. The number of rounds follows the longest chain's logarithm. A key of more than PIECE rows has
+    its rows in several pieces, fixed once, and its label goes to each of them."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = join_hot(members, sizes, "key", "n", F.col("id"), members.count()).withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
+    state = cut(placed.select("id", "key", "pieces", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), F.col("id").alias("label")))
     for _ in range(MAX_ROUNDS):
-        by_key = state.groupBy("key").agg(F.min("label").alias("low"), F.count("*").alias("n"))
-        back = join_hot(state.select("id", "key"), by_key, "key", "n", F.col("id"), total).groupBy("id").agg(F.min("low").alias("to"))
-        jump = back.alias("a").join(back.select(F.col("id").alias("to"), F.col("to").alias("further")), "to", "left").select("id", F.least("to", F.coalesce("further", "to")).alias("to"))
-        moved = cut(state.join(jump, "id").select("id", "key", F.col("to").alias("new"), "label"))
-        changed = moved.filter("new < label").limit(1).count()
-        state = moved.select("id", "key", F.col("new").alias("label"))
-        if not changed:
+        low = state.groupBy("key").agg(F.min("label").alias("low"), F.max("pieces").alias("pieces"))
+        low = low.select("key", "low", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        to = state.select("id", "key", "piece").join(low, ["key", "piece"]).groupBy("id").agg(F.min("low").alias("to"))
+        moved = cut(state.join(to, "id").select("id", "key", "pieces", "piece", "label", "to"))
+        ends = moved.select(F.col("id").alias("to"), F.col("to").alias("further")).distinct()
+        jumped = cut(moved.join(ends, "to", "left").select("id", "key", "pieces", "piece", F.least("to", F.coalesce("further", "to")).alias("label"), (F.col("to") < F.col("label")).alias("moved")))
+        state = jumped.drop("moved")
+        if not jumped.filter("moved").limit(1).count():
             break
     else:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
