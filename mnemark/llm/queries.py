@@ -34,9 +34,16 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.best_records(_people(spark, sf_dir))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "artifacts").filter((F.col("type") == "document") & F.col("text_repr").rlike(r"(?i)^\W*document\s*\("))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = table(spark, sf_dir, "artifacts").filter((F.col("type") == "document") & F.col("text_repr").rlike(r"(?i)^\W*document\s*\("))
-    return scans.noise(scanned, "id", "text_repr").select(F.col("id").alias("artifact_id"), "noise_type", "noise_text")
+    return scans.noise(_scanned(spark, sf_dir), "id", "text_repr").select(F.col("id").alias("artifact_id"), "noise_type", "noise_text")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(_scanned(spark, sf_dir), "id", "text_repr").select(F.col("id").alias("artifact_id"), "repaired")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,5 +119,5 @@ d AS (SELECT a.id AS q, b.id AS o, row_number() OVER (PARTITION BY a.id ORDER BY
 SELECT DISTINCT least(q, o) AS artifact_id_a, greatest(q, o) AS artifact_id_b FROM d WHERE n <= 10
 """
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL = {"p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}

@@ -102,8 +102,8 @@ def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None
     return kinds
 
 
-def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[str], list[str]]:
-    """Headers, page numbers, broken words as (before, after), distinct words of the running text, and its body lines."""
+def layout(text: str) -> tuple[str, list[str], set[int], list[str | None]]:
+    """First line, the other lines, those of them that begin a page, and the kind of each (see furniture)."""
     first, _, rest = text.partition("\n")
     lines, breaks = [], set()
     for k, page in enumerate(rest.split("\x0c")):
@@ -111,30 +111,97 @@ def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[
             breaks.add(len(lines))
         lines += page.split("\n")
     m = TITLE.search(first)
-    kinds = furniture(lines, breaks, m[1] if m else "")
-    headers = [x.strip() for x, k in zip(lines, kinds) if k == "header"]
-    pages = [x.strip() for x, k in zip(lines, kinds) if k == "page_number"]
-    body = [x.strip() for x, k in zip(lines, kinds) if not k and x.strip()]
-    broken, words = [], set()
+    return first, lines, breaks, furniture(lines, breaks, m[1] if m else "")
+
+
+def walk(body: list[str]) -> Iterator[tuple[int, list[tuple[int, int, str]], re.Match | None, re.Match | None, bool]]:
+    """For each body line where its own text begins, its words (start, end, word), the hyphenated word that ends it with the first
+    word of the next line, and whether the two are one broken word."""
     skip = 0
     for n, line in enumerate(body):
         h = HYPHEN.search(line) if n + 1 < len(body) and line[-1] in HYPHENS else None
         b = FIRST.match(body[n + 1]) if h else None
         end = h.start() if b else len(line)
+        words = []
         for m in TOKEN.finditer(line, skip, end):
             w = m[0]
             if w[0] in CAPITALS and w[1:].islower():
                 # Misread capitals are told by their place: a mark says that a sentence begins here.
                 ahead = line[: m.start()].rstrip() or (body[n - 1] if n else ".")
                 w = MARK + w if ahead[-1] in ".!?" else w
-            words.add(w)
-        skip = 0
-        if b and (b[0][0].islower() or not b[0][0].isalpha() or h[1][-1].isupper()):
+            words.append((m.start(), m.end(), w))
+        broken = bool(b and (b[0][0].islower() or not b[0][0].isalpha() or h[1][-1].isupper()))
+        yield skip, words, h if b else None, b, broken
+        skip = b.end() if broken else 0
+
+
+def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[str], list[str]]:
+    """Headers, page numbers, broken words as (before, after), distinct words of the running text, and its body lines."""
+    _, lines, _, kinds = layout(text)
+    headers = [x.strip() for x, k in zip(lines, kinds) if k == "header"]
+    pages = [x.strip() for x, k in zip(lines, kinds) if k == "page_number"]
+    body = [x.strip() for x, k in zip(lines, kinds) if not k and x.strip()]
+    broken, words = [], set()
+    for _, found, h, b, joined in walk(body):
+        words.update(w for _, _, w in found)
+        if joined:
             broken.append((h[1], b[0]))
-            skip = b.end()
     return sorted(set(headers)), sorted(set(pages)), broken, sorted(words), body
 
 
+def repair(text: str, fixes: dict[str, str]) -> str:
+    """The text without furniture, its broken words joined, its misread words replaced and the lines of each paragraph on one line,
+    with an empty line between paragraphs; the first line stays as it is.
+
+    fixes: of a misread word (as walk has it) its word, of the parts of a broken word ("a\nb") the whole one, and of "=" and a whole
+    word that is misread its word. A paragraph ends with a sentence, where an empty line follows, or a line that is short; over a page
+    break, which leaves empty lines of its own, where the next word would have fitted into the line.
+    """
+    first, lines, breaks, kinds = layout(text)
+    at = [i for i, (x, k) in enumerate(zip(lines, kinds)) if not k and x.strip()]
+    body = [lines[i].strip() for i in at]
+    sizes = sorted(map(len, body))
+    width, widest = (sizes[int(len(sizes) * 0.85)], sizes[-1]) if sizes else (0, 0)
+
+    def begins(n: int) -> bool:
+        if PLAIN.fullmatch(body[n]):  # of a numbered list: other lines with only a number are furniture
+            return True
+        before, line = body[n - 1], body[n]
+        if PLAIN.fullmatch(before) or line[0].islower() or before.rstrip("\"'”’»)")[-1:] not in ".!?…:":
+            return False
+        if len(before) < 0.72 * width:
+            return True
+        between = range(at[n - 1] + 1, at[n])
+        if any(kinds[i] for i in between) or any(i in breaks for i in range(at[n - 1] + 1, at[n] + 1)) or len(between) > 1:
+            return len(before) + 1 + len(line.split()[0]) <= widest
+        return len(between) == 1
+
+    paragraphs, now, glued = [], "", True
+    walked = list(walk(body))
+    for n, (skip, words, h, b, joined) in enumerate(walked):
+        line = body[n]
+        if n and not glued:
+            if begins(n):
+                paragraphs.append(now)
+                now = ""
+            else:
+                now += " "
+        pos = skip
+        for s, e, w in words:
+            now += line[pos:s] + fixes.get(w, line[s:e])
+            pos = e
+        if joined:
+            whole = fixes.get(f"{h[1]}\n{b[0]}", h[1] + b[0])
+            further = walked[n + 1][4] and walked[n + 1][2].start() < b.end()
+            whole = whole if further else fixes.get("=" + whole, whole)
+            # A word over three lines: its middle stands at the end already.
+            now = now + line[pos : h.start()] + whole if h.start() >= skip else now.removesuffix(h[1]) + whole
+        else:
+            now += line[pos:]
+        glued = h is not None
+    return "\n\n".join([first, *paragraphs, *([now] if body else [])])
+
+
 def parsed(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, headers, pages, broken, words) of each whole text."""
 
@@ -212,14 +279,15 @@ def ranking(good: DataFrame, seed: int):  # noqa: ANN201
     return GBTClassifier(maxIter=12, maxDepth=4, seed=seed).fit(train)
 
 
-def replacements(counts: DataFrame, docs: int, seed: int = 11) -> DataFrame:
-    """(w, c): misread forms and their words, from (w, n), the number of documents of each form."""
+def replacements(counts: DataFrame, docs: int, seed: int = 11, more: DataFrame | None = None) -> DataFrame:
+    """(w, c): misread forms and their words, from (w, n), the number of documents of each form. more: forms (w, n) that counts hasn't."""
     least = max(GOOD_DOCS, GOOD_SHARE * docs)
     good = counts.filter(F.col("n") >= least).select(F.col("w").alias("c"), F.col("n").alias("m"))
     model = ranking(good, seed)
     top = counts.agg(F.max("n")).first()[0] or 0
     # A number can't be told from another, so only forms with a letter are looked at.
-    pairs = with_features(candidates(counts.filter((F.col("n") * RARER <= top) & F.col("w").rlike(r"\p{L}")), good))
+    forms = counts if more is None else counts.unionByName(more)
+    pairs = with_features(candidates(forms.filter((F.col("n") * RARER <= top) & F.col("w").rlike(r"\p{L}")), good))
     # Where no two frequent words are alike there is nothing to rank: a form has its one look-alike.
     p = pairs.withColumn("p", (F.col("folded_edits") == 0).cast("double")) if model is None else model.transform(pairs).withColumn("p", vector_to_array("probability")[1])
     # Whatever the trees say, forms that no known confusion explains must be rarer by far: rare words aren't misread ones.
@@ -235,6 +303,23 @@ def in_case(word: Column, like: Column) -> Column:
     return F.when((letters == F.upper(letters)) & (F.length(letters) > 1), F.upper(word)).when(F.substring(like, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(word, 1, 1)), F.expr("substring(c, 2)"))).otherwise(word)
 
 
+def bare(word: Column) -> Column:
+    return F.ltrim(F.lower(word), F.lit(MARK))
+
+
+def counted(pages: DataFrame) -> DataFrame:
+    """(w, n): number of documents of each word of the running text."""
+    return cut(pages.select(F.explode("words").alias("word")).groupBy(bare(F.col("word")).alias("w")).agg(F.count("*").alias("n")))
+
+
+def wholes(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, a, b, whole): the broken words of each document, with the hyphen where the corpus has it more often than not."""
+    b = pages.select("id", F.explode("broken").alias("x")).select("id", "x.a", "x.b", F.concat("x.a", "x.b").alias("without"), F.concat("x.a", F.lit("-"), "x.b").alias("kept"))
+    b = b.withColumn("lw", F.lower("without")).withColumn("lk", F.lower("kept"))
+    b = b.join(counts.select(F.col("w").alias("lw"), F.col("n").alias("nw")), "lw", "left").join(counts.select(F.col("w").alias("lk"), F.col("n").alias("nk")), "lk", "left")
+    return b.select("id", "a", "b", F.when(F.coalesce("nk", F.lit(0)) > F.coalesce("nw", F.lit(0)), F.col("kept")).otherwise(F.col("without")).alias("whole"))
+
+
 def noise(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, noise_type, noise_text): distinct furniture lines, broken words and misread words of scanned texts.
 
@@ -244,13 +329,35 @@ def noise(df: DataFrame, id_col: str, text: str) -> DataFrame:
     pages = cut(parsed(df, id_col, text))
     lines = lambda field, kind: pages.select("id", F.lit(kind).alias("noise_type"), F.explode(field).alias("noise_text"))
     words = pages.select("id", F.explode("words").alias("word"))
-    bare = F.ltrim(F.lower("word"), F.lit(MARK))
-    counts = cut(words.groupBy(bare.alias("w")).agg(F.count("*").alias("n")))
-    b = pages.select("id", F.explode("broken").alias("x")).select("id", F.concat("x.a", "x.b").alias("whole"), F.concat("x.a", F.lit("-"), "x.b").alias("kept"))
-    b = b.withColumn("lw", F.lower("whole")).withColumn("lk", F.lower("kept"))
-    b = b.join(counts.select(F.col("w").alias("lw"), F.col("n").alias("nw")), "lw", "left").join(counts.select(F.col("w").alias("lk"), F.col("n").alias("nk")), "lk", "left")
-    hyphens = b.select("id", F.lit("hyphen").alias("noise_type"), F.when(F.coalesce("nk", F.lit(0)) > F.coalesce("nw", F.lit(0)), F.col("kept")).otherwise(F.col("whole")).alias("noise_text"))
+    counts = counted(pages)
+    hyphens = wholes(pages, counts).select("id", F.lit("hyphen").alias("noise_type"), F.col("whole").alias("noise_text"))
     mapping = cut(replacements(counts, pages.count()))
-    found = words.withColumn("w", bare).join(broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST), "w")
+    found = words.withColumn("w", bare(F.col("word"))).join(broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST), "w")
     misread = found.select("id", F.lit("misread").alias("noise_type"), in_case(F.col("c"), F.col("word")).alias("noise_text"))
     return lines("headers", "header").unionByName(lines("pages", "page_number")).unionByName(hyphens).unionByName(misread).distinct()
+
+
+def repaired(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, repaired): each scanned text with what noise() finds taken out or set right in its place, and its paragraphs continuous
+    (see repair). Broken words that are misread as well are set right too. A null text stays null; every row gives one row."""
+    pages = cut(parsed(df, id_col, text))
+    counts = counted(pages)
+    broken = cut(wholes(pages, counts).distinct())
+    unseen = broken.groupBy(F.lower("whole").alias("w")).agg(F.countDistinct("id").alias("n")).join(counts, "w", "left_anti")
+    mapping = cut(replacements(counts, pages.count(), more=unseen))
+    mapping = broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST)
+    words = pages.select("id", F.explode("words").alias("word")).withColumn("w", bare(F.col("word"))).join(mapping, "w")
+    misread = broken.withColumn("w", F.lower("whole")).join(mapping, "w")
+    fixes = words.select("id", F.col("word").alias("k"), in_case(F.col("c"), F.col("word")).alias("v"))
+    fixes = fixes.unionByName(broken.select("id", F.concat("a", F.lit("\n"), "b").alias("k"), F.col("whole").alias("v")))
+    fixes = fixes.unionByName(misread.select("id", F.concat(F.lit("="), "whole").alias("k"), in_case(F.col("c"), F.col("whole")).alias("v"))).distinct()
+    fixes = fixes.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fixes"))
+    texts = df.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("text"))
+    texts = texts.join(fixes, F.col("i").eqNullSafe(F.col("id")), "left").select("i", "text", "fixes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [None if t is None else repair(t, dict(f or ())) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["id", "repaired"])
+
+    return texts.mapInArrow(run, "id long, repaired string")

@@ -28,3 +28,25 @@ def test_noise(spark):
 def test_misread_capitals():
     words = scans.parse("Document\n5omebody left. lt was 8etween us, lt is.")[3]
     assert words == sorted(["^5omebody", "left", "^lt", "was", "8etween", "us", "lt", "is"])
+
+
+def test_repair():
+    fixes = {"half\nfinished": "half-finished", "d0ugh": "dough", "^5he": "She", "=rnarinade": "marinade"}
+    text = PAGE.replace("the dough until", "the d0ugh until").replace("mar-", "rnar-").replace("She baked", "5he baked")
+    want = 'Document (PDF, 2 pages): s.pdf — "Report on the dough"\n\nNobody marinated the dough until the yeast looked sour and the half-finished oven was warm. We kept the marinade for the third time.\n\nShe baked the bread.'
+    assert scans.repair(text, fixes) == want
+    assert scans.repair("Document\n\n1\nThis is a sentence.\n2\nThis is another.", {}) == "Document\n\n1 This is a sentence.\n\n2 This is another."
+    assert scans.repair("Document\nsomething un-\nbeliev-\nable happened", {"un\nbeliev": "unbeliev"}) == "Document\n\nsomething unbelievable happened"
+    assert scans.repair("Document", {}) == "Document" and scans.repair("", {}) == ""
+
+
+def test_repaired(spark):
+    text = "the morning dinner was about nothing before the early lunch and the usual culture again"
+    rows = [(i, f"Document\n{text} with half-finished work.") for i in range(120)] + [(500, "Document\nThe rnorning was carly and\nhalf-\nfinished\n12\nin the rnorn-\ning."), (501, None), (504, "Document\nNothinq is wr0ng."), (504, "Document\nNothinq is wr0ng."), (505, "Document\n" + "early lunch " * 20_000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [(r.id, r.repaired) for r in scans.repaired(df, "id", "text").collect()]
+    assert len(got) == len(rows)
+    by = dict(got)
+    assert by[500] == "Document\n\nThe morning was early and half-finished in the morning." and by[501] is None
+    assert by[504] == "Document\n\nNothing is wr0ng." and by[505] == "Document\n\n" + ("early lunch " * 20_000).strip() and by[7] == f"Document\n\n{text} with half-finished work."
+    assert scans.repaired(df.limit(0), "id", "text").count() == 0
