@@ -16,10 +16,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from mnemark.session import cut
+
 LETTER = r"[^\W\d_]"
 GAP = "[ \t\xa0​\n]{1,4}"
-#: Shares of all person names below which a given name or surname isn't taken into the lexicon: at most 2 000 and 20 000 entries.
-GIVEN_SHARE, SURNAME_SHARE = 1 / 2_000, 1 / 20_000
+#: Names up to which the lexicon is sent to all tasks whole; a larger one is joined with the words of the texts. No name is left out.
+NAMES_BROADCAST = 100_000
 # Words that follow a house number's street, that stand before it, and that end the name of an organisation.
 STREETS = "road rd street st avenue ave lane ln court ct drive dr way close place pl square sq terrace boulevard blvd crescent gardens row hill".split()
 STREETS_BEFORE = ["rue", "avenue", "boulevard", "place", "chemin", "impasse", "calle", "avenida", "plaza", "paseo", "carrera"]
@@ -64,6 +66,7 @@ ADDRESSES = re.compile(
 )
 INITIAL = re.compile(rf"(?<![\w.])[^\W\d_a-zß-ÿ]\.{GAP}(?={LETTER})")
 NEXT_WORD = re.compile(rf"(?:{GAP}([^\W\d_])\.?(?={GAP}))?{GAP}({LETTER}{{2,}}(?:['’\-]{LETTER}+)*)")
+RUN_OF_LETTERS = re.compile(rf"{LETTER}(?:{LETTER}|['’\-])+")
 ONE_WORD = re.compile(rf"{LETTER}{{2,}}(?:['’\-]{LETTER}+)*")
 SURNAME_BEFORE = re.compile(rf"({LETTER}{{2,}}(?:['’\-]{LETTER}+)*),{GAP}$")
 #: Widest text taken on one side of an anchor: a local part has at most 64 characters, a street line not more than 120.
@@ -188,25 +191,42 @@ class Finder:
         return bool(m) and fold(m[2]) in self.surnames
 
 
-def name_lexicons(names: DataFrame, name: str) -> tuple[list[str], list[str]]:
-    """Given names and surnames, folded, of `name` written as "Given [X.] Surname" or "Surname, Given".
-
-    Counts are over all rows; a part is kept from GIVEN_SHARE or SURNAME_SHARE of all names on, so at most 2 000 and 20 000 parts come
-    to the driver, however many rows there are. Initials, and names of one part, give nothing.
-    """
+def name_table(names: DataFrame, name: str) -> DataFrame:
+    """(k, given): each folded given name (given = true) and surname of `name` written as "Given [X.] Surname" or "Surname, Given",
+    once, however rare it is. Initials, and names of one part, give nothing."""
     n = F.trim(F.regexp_replace(F.col(name), r"[\s\x{A0}]+", " "))
     swapped = F.regexp_replace(n, r"^([^,]+), *(.+)$", "$2 $1")
     parts = names.select(F.split(swapped, " ").alias("p")).filter(F.size("p") >= 2)
-    parts = parts.select(F.col("p")[0].alias("given"), F.element_at("p", -1).alias("surname"))
-    total = parts.count()
-    take = lambda c, share: sorted({fold(r[0]) for r in parts.groupBy(F.lower(c).alias("k")).agg(F.count("*").alias("n")).filter((F.col("n") >= max(1.0, share * total)) & F.col("k").rlike(r"^\p{L}[\p{L}'’-]+$")).select("k").collect()})
-    return take("given", GIVEN_SHARE), take("surname", SURNAME_SHARE)
+    parts = parts.select(F.explode(F.array(*(F.struct(F.lower(c).alias("k"), F.lit(g).alias("given")) for c, g in ((F.col("p")[0], True), (F.element_at("p", -1), False))))).alias("x")).select("x.*")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(k) for k in b.column(0).to_pylist()], pa.string()), b.column(1)], names=["k", "given"])
+
+    return parts.filter(F.col("k").rlike(r"^\p{L}[\p{L}'’-]+$")).distinct().mapInArrow(folded, "k string, given boolean").distinct()
+
+
+def name_lexicons(names: DataFrame, name: str) -> tuple[list[str], list[str]]:
+    """All given names and all surnames of name_table, as lists on the driver."""
+    return _lists(name_table(names, name).collect())
+
+
+def _lists(rows: list) -> tuple[list[str], list[str]]:
+    return sorted(k for k, given in rows if given), sorted(k for k, given in rows if not given)
 
 
 _finders: dict[int, Finder] = {}
 
 
-def _mapped(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]], schema: str, rows) -> DataFrame:  # noqa: ANN001
+def _mapped(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]] | DataFrame, schema: str, rows) -> DataFrame:  # noqa: ANN001
+    """rows(finder, batch) over (id, text); lexicons: two lists, or a name_table of any size."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if isinstance(lexicons, DataFrame):
+        # One row more than the limit tells whether the table is larger.
+        head = (lexicons := cut(lexicons)).limit(NAMES_BROADCAST + 1).collect()
+        if len(head) > NAMES_BROADCAST:
+            return _joined(texts, lexicons, schema, rows)
+        lexicons = _lists(head)
     shared = df.sparkSession.sparkContext.broadcast(lexicons)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +237,41 @@ def _mapped(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], li
         for b in batches:
             yield rows(finder, b)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
+
+
+def name_words(text: str) -> set[str]:
+    """All folded words of a text that a Finder may look up in its lexicons."""
+    low = fold(text)
+    return {w for r in (RUN_OF_LETTERS, ONE_WORD) for w in r.findall(low)}
+
+
+def _joined(texts: DataFrame, names: DataFrame, schema: str, rows) -> DataFrame:  # noqa: ANN001
+    """As _mapped, with a lexicon that stays a table: each text gets the names that its words are, by a join on the words. A batch's
+    finder knows the names of all its texts, which for each of them finds what the whole lexicon would find."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, k = [], []
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                new = name_words(t)
+                h += [x] * len(new)
+                k += new
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(k, pa.string())], names=["h", "k"])
+
+    keyed = texts.withColumn("h", F.sha2("text", 256))
+    said = keyed.filter("text IS NOT NULL").select("h", "text").mapInArrow(words, "h string, k string").distinct()
+    has = said.join(names, "k").groupBy("h").agg(F.collect_list(F.when(F.col("given"), F.col("k"))).alias("given"), F.collect_list(F.when(~F.col("given"), F.col("k"))).alias("surnames"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given, surnames = (sorted({k for ks in b.column(c).to_pylist() for k in ks or ()}) for c in (2, 3))
+            yield rows(Finder(given, surnames), b)
+
+    return keyed.join(has, "h", "left").select("id", "text", "given", "surnames").mapInArrow(run, schema)
 
 
-def found(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]]) -> DataFrame:
+def found(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]] | DataFrame) -> DataFrame:
     """(id, pii_type, pii_text): each distinct piece of personal data of each text, as written. Null and empty texts give no rows;
     texts are read whole, whatever their length; repeated rows give their pieces once for each."""
 
@@ -234,7 +285,7 @@ def found(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list
     return _mapped(df, id_col, text, lexicons, "id long, pii_type string, pii_text string", rows)
 
 
-def redacted(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]]) -> DataFrame:
+def redacted(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]] | DataFrame) -> DataFrame:
     """(id, redacted, pieces): the text with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS], [NAME] for each piece and nothing else changed.
     A null text stays null."""
 

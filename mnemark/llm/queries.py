@@ -8,9 +8,10 @@ from mnemark.llm import copies, leaks, mixing, neighbours, personal, scans, subj
 from mnemark.session import table
 
 
-def _lexicons(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
-    people = table(spark, sf_dir, "entities").filter("kind = 'person'").select(F.col("canonical_name").alias("name"))
-    return personal.name_lexicons(people, "name")
+def _lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "entities").filter("kind = 'person'")
+    aliases = table(spark, sf_dir, "entity_aliases").filter("alias_type = 'name'").join(people.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    return personal.name_table(people.select(F.col("canonical_name").alias("name")).unionByName(aliases.select(F.col("alias").alias("name"))), "name")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

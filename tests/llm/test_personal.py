@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from mnemark.llm import personal as P
 
 FINDER = P.Finder(["mara", "noe", "stefan"], ["hollikson", "birkwick"])
@@ -38,3 +40,16 @@ def test_lexicons(spark):
     df = spark.createDataFrame([("Mara  Hollikson",), ("Hollikson, Noé",), ("M. Hollikson",), (None,), ("Single",), ("",)], "name string")
     assert P.name_lexicons(df, "name") == (["mara", "noe"], ["hollikson"])
     assert P.name_lexicons(df.limit(0), "name") == ([], [])
+
+
+def test_rare_names_on_large_tables(spark, monkeypatch):
+    people = spark.range(30_000).select(F.when(F.col("id") == 7, "Zephyrine Quillfeather").when(F.col("id") == 8, "Ann-Lou d'Oré").otherwise("Mara Hollikson").alias("name"))
+    names = P.name_table(people, "name")
+    assert {tuple(r) for r in names.collect()} == {("mara", True), ("hollikson", False), ("zephyrine", True), ("quillfeather", False), ("ann-lou", True), ("d'ore", False)}
+    texts = ["ZEPHYRINE QUILLFEATHER called", "Z. Quillfeather, then Quillfeather, Zephyrine and Mara Hollikson.", "Zephyrine Newname left Ann-Lou Hollikson (zephyrine hollikson)", None, "", "nobody"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (0, texts[0])], "id long, text string")
+    want = [(-1, "ZEPHYRINE QUILLFEATHER"), (0, "ZEPHYRINE QUILLFEATHER"), (0, "ZEPHYRINE QUILLFEATHER"), (1, "Mara Hollikson"), (1, "Quillfeather, Zephyrine"), (1, "Z. Quillfeather"), (2, "Ann-Lou Hollikson"), (2, "Zephyrine Newname"), (2, "zephyrine hollikson")]
+    for limit in (100, 1):  # sent to the tasks, and joined
+        monkeypatch.setattr(P, "NAMES_BROADCAST", limit)
+        assert sorted((-1 if r.id is None else r.id, r.pii_text) for r in P.found(df, "id", "text", names).collect()) == want
+        assert P.redacted(df, "id", "text", names).count() == 8
