@@ -12,13 +12,15 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mnemark.session import broadcast_if_small, cut
 
 K, WINDOW = 5, 2  # words per k-gram; k-grams per window: every shared span of K + WINDOW - 1 words has a shared fingerprint
 LEAST_SHARE = 0.45  # of an item's words, half of them less the words that were changed at the edges
-LEAST_OWN = 0.2  # of an item's words, found outside of instructions that other items share
+LEAST_OWN = 0.2  # of an item's words, found outside of stock instructions
+STOCK_WORDS, STOCK_ITEMS = 30, 3  # a stock instruction has at most so many words, and stands in at least so many different items
+RARE, LEAST_RARE = 3, 0.5  # fingerprints of instructions in more items than RARE find nothing, unless an item has fewer others than this share
 PIECES_APART = 60  # words of the document between two pieces of one passage
 INSIDE_GAP = 4  # words that may be changed, left out or added between two runs
 BROADCAST_FINGERPRINTS = 500_000
@@ -87,30 +89,34 @@ def extend(doc: list[str], item: list[str], at: list[int], own: np.ndarray) -> t
 
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, share): documents with at least LEAST_SHARE of an item's words in order, as one passage or two pieces close
-    together, of which LEAST_OWN aren't instructions shared with other items.
+    together, of which LEAST_OWN aren't stock instructions: spans of at most STOCK_WORDS words in STOCK_ITEMS or more different items.
 
-    Null and empty texts and null ids on either side have no leaks; texts are read whole; repeated rows of one id count as one. The items'
-    fingerprints are counted, and sent to all executors only up to BROADCAST_FINGERPRINTS; the documents' never leave their tasks but
-    for those that an item shares.
+    Items of the same words are looked for once, and all of them are reported. Null and empty texts and null ids on either side have no
+    leaks; texts are read whole; repeated rows of one id count as one. The items' fingerprints are counted, and sent to all executors
+    only up to BROADCAST_FINGERPRINTS; the documents' never leave their tasks but for those that an item shares.
     """
     spark = docs.sparkSession
-    mine = cut(fingerprints(items, item_id, item_text).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash"))
+    members = cut(_classes(items, item_id, item_text))
+    item_rows = members.filter("item = class").select("item", "item_text")
+    stock = cut(_stock_positions(item_rows))
+    mine = cut(fingerprints(item_rows, "item", "item_text").select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash"))
     shared = mine.groupBy("hash").agg(F.countDistinct("item").alias("n"))
-    # A hash that many items have says nothing of any: such instructions alone are no case, and the items' own words find the passage.
-    keys = mine.join(shared.filter("n <= 3").select("hash"), "hash").select("hash", "item")
+    # An instruction alone is no case, and the items' other words find the passage, where there are enough of them.
+    inside = F.coalesce(F.forall(F.sequence("item_pos", F.col("item_pos") + K - 1), lambda p: F.array_contains("stock_at", p)), F.lit(False))
+    told = cut(mine.join(shared, "hash").join(stock, "item", "left").select("item", "hash", (inside & (F.col("n") > RARE)).alias("common")))
+    few = told.groupBy("item").agg((F.avg((~F.col("common")).cast("double")) < LEAST_RARE).alias("few"))
+    keys = cut(told.join(few, "item").filter(~F.col("common") | F.col("few")).select("hash", "item").distinct())
     hits = fingerprints(docs, doc_id, doc_text).join(broadcast_if_small(keys, keys.count(), BROADCAST_FINGERPRINTS), "hash")
     hits = cut(hits.groupBy("id", "item").agg(F.sort_array(F.collect_set("pos")).alias("at")))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).filter(F.col("text").isNotNull())
     wanted = hits.select("id").distinct()
     texts = texts.join(wanted, "id", "left_semi")
-    item_rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("item_text")).filter(F.col("item_text").isNotNull()).dropDuplicates(["item"])
-    common = cut(_shared_positions(items, item_id, item_text))
-    pairs = hits.join(texts.dropDuplicates(["id"]), "id").join(item_rows, "item").join(common, "item", "left")
+    pairs = hits.join(texts.dropDuplicates(["id"]), "id").join(item_rows, "item").join(stock, "item", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, i, at, t, x, c in b[["id", "item", "at", "text", "item_text", "shared_at"]].itertuples(index=False, name=None):
+            for d, i, at, t, x, c in b[["id", "item", "at", "text", "item_text", "stock_at"]].itertuples(index=False, name=None):
                 w = words(x)
                 own = np.ones(len(w), dtype=bool)
                 if c is not None:
@@ -118,19 +124,37 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_i
                 share, mine_share = extend(words(t), w, list(at), own)
                 if share >= LEAST_SHARE and mine_share >= LEAST_OWN:
                     out.append((d, i, share))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
+            yield pd.DataFrame(out, columns=["doc_id", "class", "share"]).astype({"doc_id": "int64", "class": "int64", "share": "float64"})
 
-    return pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "item").mapInPandas(run, "doc_id long, item_id long, share double")
+    found = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "item").mapInPandas(run, "doc_id long, class long, share double")
+    return found.join(members.select("class", F.col("item").alias("item_id")), "class").select("doc_id", "item_id", "share")
 
 
-def _shared_positions(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(item, shared_at): word positions of an item inside k-grams that another item has too."""
+def _classes(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item, class, item_text): each item once, with the smallest id of the items that have the same words in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [hashlib.blake2b(" ".join(words(t)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.string())], names=["item", "item_text", "same"])
+
+    rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("item_text")).filter("item IS NOT NULL AND item_text IS NOT NULL")
+    rows = cut(rows.groupBy("item").agg(F.min("item_text").alias("item_text")).mapInArrow(run, "item long, item_text string, same string"))
+    return rows.join(rows.groupBy("same").agg(F.min("item").alias("class")), "same").select("item", "class", "item_text")
+
+
+def _stock_positions(items: DataFrame) -> DataFrame:
+    """(item, stock_at): word positions of an item inside stock instructions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, p, int(h)) for i, t in b.itertuples(index=False, name=None) for p, h in enumerate(kgrams(words(t)))]
             yield pd.DataFrame(rows, columns=["item", "pos", "hash"]).astype("int64")
 
-    grams = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL").mapInPandas(run, "item long, pos long, hash long")
-    several = grams.groupBy("hash").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo < hi").select("hash")
-    return grams.join(several, "hash").select("item", F.explode(F.sequence("pos", F.col("pos") + K - 1)).alias("p")).groupBy("item").agg(F.sort_array(F.collect_set("p")).alias("shared_at"))
+    grams = items.select("item", F.col("item_text").alias("text")).mapInPandas(run, "item long, pos long, hash long")
+    several = grams.groupBy("hash").agg(F.countDistinct("item").alias("n")).filter(F.col("n") >= STOCK_ITEMS).select("hash")
+    at = grams.join(several, "hash").select("item", F.explode(F.sequence("pos", F.col("pos") + K - 1)).alias("p")).distinct()
+    # Positions without a gap have one difference from their rank.
+    at = at.withColumn("span", F.col("p") - F.row_number().over(W.partitionBy("item").orderBy("p")))
+    short = at.groupBy("item", "span").agg(F.collect_list("p").alias("ps")).filter(F.size("ps") <= STOCK_WORDS)
+    return short.groupBy("item").agg(F.sort_array(F.flatten(F.collect_list("ps"))).alias("stock_at"))

@@ -34,3 +34,14 @@ def test_winnowing_guarantee():
     for _ in range(50):
         a, b = L.kgrams(noise(20) + span + noise(20)), L.kgrams(noise(5) + span + noise(9))
         assert set(a[L.winnow(a)]) & set(b[L.winnow(b)])
+
+
+def test_items_alike(spark):
+    passage, stock = noise(80), noise(15)
+    same = [(k, " ".join(ITEM).upper() if k % 2 else " ".join(ITEM)) for k in range(1, 6)]
+    questions = [(k, " ".join(passage + noise(12))) for k in range(11, 16)]
+    asked = [(k, " ".join(noise(40) + stock)) for k in range(21, 27)] + [(27, " ".join(stock + noise(8)))]
+    i = spark.createDataFrame(same + questions + asked, "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(noise(50) + ITEM + noise(50))), (2, " ".join(noise(50) + passage + noise(50))), (3, " ".join(noise(50) + stock + noise(50))), (4, asked[6][1])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in L.leaked(d, i, "doc_id", "text", "item_id", "text").collect())
+    assert got == [(1, k) for k in range(1, 6)] + [(2, k) for k in range(11, 16)] + [(4, 27)]
