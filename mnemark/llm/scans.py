@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemark.session import broadcast_if_small, cut
 
-#: A word that others may be misread forms of stands in at least this share of the documents, and in GOOD_DOCS of them.
-GOOD_SHARE, GOOD_DOCS = 0.0005, 3
+#: A word that others may be misread forms of stands in at least so many documents, however many there are.
+GOOD_DOCS = 3
 #: A misread form is at least so many times rarer than its word.
 RARER = 5
 #: And so many times where no known confusion makes it of the word.
@@ -279,10 +279,9 @@ def ranking(good: DataFrame, seed: int):  # noqa: ANN201
     return GBTClassifier(maxIter=12, maxDepth=4, seed=seed).fit(train)
 
 
-def replacements(counts: DataFrame, docs: int, seed: int = 11, more: DataFrame | None = None) -> DataFrame:
+def replacements(counts: DataFrame, seed: int = 11, more: DataFrame | None = None) -> DataFrame:
     """(w, c): misread forms and their words, from (w, n), the number of documents of each form. more: forms (w, n) that counts hasn't."""
-    least = max(GOOD_DOCS, GOOD_SHARE * docs)
-    good = counts.filter(F.col("n") >= least).select(F.col("w").alias("c"), F.col("n").alias("m"))
+    good = counts.filter(F.col("n") >= GOOD_DOCS).select(F.col("w").alias("c"), F.col("n").alias("m"))
     model = ranking(good, seed)
     top = counts.agg(F.max("n")).first()[0] or 0
     # A number can't be told from another, so only forms with a letter are looked at.
@@ -331,7 +330,7 @@ def noise(df: DataFrame, id_col: str, text: str) -> DataFrame:
     words = pages.select("id", F.explode("words").alias("word"))
     counts = counted(pages)
     hyphens = wholes(pages, counts).select("id", F.lit("hyphen").alias("noise_type"), F.col("whole").alias("noise_text"))
-    mapping = cut(replacements(counts, pages.count()))
+    mapping = cut(replacements(counts))
     found = words.withColumn("w", bare(F.col("word"))).join(broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST), "w")
     misread = found.select("id", F.lit("misread").alias("noise_type"), in_case(F.col("c"), F.col("word")).alias("noise_text"))
     return lines("headers", "header").unionByName(lines("pages", "page_number")).unionByName(hyphens).unionByName(misread).distinct()
@@ -344,7 +343,7 @@ def repaired(df: DataFrame, id_col: str, text: str) -> DataFrame:
     counts = counted(pages)
     broken = cut(wholes(pages, counts).distinct())
     unseen = broken.groupBy(F.lower("whole").alias("w")).agg(F.countDistinct("id").alias("n")).join(counts, "w", "left_anti")
-    mapping = cut(replacements(counts, pages.count(), more=unseen))
+    mapping = cut(replacements(counts, more=unseen))
     mapping = broadcast_if_small(mapping, mapping.count(), MAPPING_BROADCAST)
     words = pages.select("id", F.explode("words").alias("word")).withColumn("w", bare(F.col("word"))).join(mapping, "w")
     misread = broken.withColumn("w", F.lower("whole")).join(mapping, "w")

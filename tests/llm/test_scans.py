@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from mnemark.llm import scans
 
 PAGE = 'Document (PDF, 2 pages): s.pdf — "Report on the dough"\n\nNobody marinated the dough until the yeast looked sour and\nthe half-\nfinished oven was warm. We kept the mar-\n\n— Report on the d0ugh —\n[12]\ninade for the third time.\x0cAnnual Notes\nShe baked the bread.'
@@ -50,3 +52,10 @@ def test_repaired(spark):
     assert by[500] == "Document\n\nThe morning was early and half-finished in the morning." and by[501] is None
     assert by[504] == "Document\n\nNothing is wr0ng." and by[505] == "Document\n\n" + ("early lunch " * 20_000).strip() and by[7] == f"Document\n\n{text} with half-finished work."
     assert scans.repaired(df.limit(0), "id", "text").count() == 0
+
+
+def test_rare_word_among_many_documents(spark):
+    common = spark.range(20_000).select("id", F.lit("Document\nthe morning dinner was about nothing.").alias("text"))
+    rare = spark.createDataFrame([(100_000 + i, "Document\nthe syzygometer was about.") for i in range(9)] + [(200_000, "Document\nthe syzyg0meter was about.")], "id long, text string")
+    got = [tuple(r) for r in scans.noise(common.unionByName(rare), "id", "text").collect()]
+    assert got == [(200_000, "misread", "syzygometer")]
