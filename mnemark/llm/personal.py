@@ -7,8 +7,10 @@ grouping, an address from house number to city or postal code, a name's given na
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,13 +132,12 @@ class Finder:
                 if w and fold(w[0]) in self.surnames and w[0][0].isupper() and not self._org(text, w.end()):
                     found.append((m.start(), w.end(), NAME))
         order = {EMAIL: 0, ID_NUMBER: 1, PHONE: 2, ADDRESS: 3, NAME: 4}
-        out: list[tuple[int, int, str]] = []
-        taken: list[tuple[int, int]] = []
+        out: list[tuple[int, int, str]] = []  # sorted, without overlap: only the neighbours of a new span can touch it
         for s in sorted(set(found), key=lambda x: (order[x[2]], x[0] - x[1], x[0])):
-            if all(s[1] <= a or s[0] >= b for a, b in taken):
-                out.append(s)
-                taken.append(s[:2])
-        return sorted(out)
+            i = bisect(out, s[:2], key=lambda x: x[:2])
+            if (i == 0 or out[i - 1][1] <= s[0]) and (i == len(out) or s[1] <= out[i][0]):
+                out.insert(i, s)
+        return out
 
     @staticmethod
     def _run(text: str, at: int) -> tuple[int, int]:
@@ -215,7 +216,19 @@ def _lists(rows: list) -> tuple[list[str], list[str]]:
     return sorted(k for k, given in rows if given), sorted(k for k, given in rows if not given)
 
 
-_finders: dict[int, Finder] = {}
+_finders: dict[bytes, Finder] = {}
+
+
+def digest(lexicons: tuple[list[str], list[str]]) -> bytes:
+    return hashlib.blake2b("\n\n".join("\n".join(names) for names in lexicons).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _finder(content: bytes, shared) -> Finder:  # noqa: ANN001
+    """The finder of the broadcast lexicons, made once in a worker; their content tells whether it is the one at hand."""
+    if content not in _finders:
+        _finders.clear()
+        _finders[content] = Finder(*shared.value)
+    return _finders[content]
 
 
 def _mapped(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], list[str]] | DataFrame, schema: str, rows) -> DataFrame:  # noqa: ANN001
@@ -227,13 +240,10 @@ def _mapped(df: DataFrame, id_col: str, text: str, lexicons: tuple[list[str], li
         if len(head) > NAMES_BROADCAST:
             return _joined(texts, lexicons, schema, rows)
         lexicons = _lists(head)
-    shared = df.sparkSession.sparkContext.broadcast(lexicons)
+    shared, content = df.sparkSession.sparkContext.broadcast(lexicons), digest(lexicons)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared) not in _finders:
-            _finders.clear()
-            _finders[id(shared)] = Finder(*shared.value)
-        finder = _finders[id(shared)]
+        finder = _finder(content, shared)
         for b in batches:
             yield rows(finder, b)
 

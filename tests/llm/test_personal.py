@@ -53,3 +53,15 @@ def test_rare_names_on_large_tables(spark, monkeypatch):
         monkeypatch.setattr(P, "NAMES_BROADCAST", limit)
         assert sorted((-1 if r.id is None else r.id, r.pii_text) for r in P.found(df, "id", "text", names).collect()) == want
         assert P.redacted(df, "id", "text", names).count() == 8
+
+
+def test_a_reused_worker_takes_the_names_of_its_own_lexicon(spark):
+    df = spark.createDataFrame([(1, "Mara Hollikson met Noe Birkwick.")], "id long, text string").repartition(1)
+    for lex, want in (((["mara"], ["hollikson"]), ["Mara Hollikson"]), ((["noe"], ["birkwick"]), ["Noe Birkwick"]), ((["mara"], ["hollikson"]), ["Mara Hollikson"])):
+        assert [r.pii_text for r in P.found(df, "id", "text", lex).collect()] == want
+    assert P.digest((["a"], ["b"])) != P.digest((["a", "b"], [])) != P.digest(([], ["a", "b"]))
+
+
+def test_many_pieces_in_one_text():
+    text = " ".join(f"user{i}@post.example, (555) 322-{1000 + i}" for i in range(4000))
+    assert len(FINDER.spans(text)) == 8000 and FINDER.spans(text) == sorted(FINDER.spans(text))
