@@ -114,11 +114,5 @@ l AS (SELECT p.id, grp, TRY_CAST(replace({_ATTR.format('updated_at')}, 'Z', '')
 t AS (SELECT grp, first(id ORDER BY changed DESC NULLS LAST, filled DESC, trust_rank NULLS LAST, id) AS keep_id FROM l GROUP BY grp)
 SELECT a.id AS entity_id_a, b.id AS entity_id_b, keep_id FROM l a JOIN l b ON a.grp = b.grp AND a.id < b.id JOIN t ON t.grp = a.grp
 """
-P6_FOUND_SQL = """
-WITH v AS (SELECT artifact_id AS id, min(embedding)::DOUBLE[] AS e FROM vec_artifacts WHERE len(embedding) = 64 AND isfinite(list_sum(list_transform(embedding, lambda x: abs(x)::DOUBLE))) AND list_sum(list_transform(embedding, lambda x: abs(x)::DOUBLE)) > 0 GROUP BY artifact_id),
-d AS (SELECT a.id AS q, b.id AS o, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id) AS n FROM v a JOIN v b ON a.id <> b.id)
-SELECT DISTINCT least(q, o) AS artifact_id_a, greatest(q, o) AS artifact_id_b FROM d WHERE n <= 10
-"""
-
 QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
-SQL = {"p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}
+SQL = {"p3_found": P3_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_records": P7_RECORDS_SQL}
