@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from mnemark import model
 
 SPACE = r"[\s\x{A0}\x{FEFF}]"
 WRITTEN_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?\z"
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
+# Letters of the Latin blocks that are a base letter with marks, and their base letters, from the Unicode data.
+_MARKED = [(c, d[0]) for c in map(chr, range(0xC0, 0x1F00)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
+ACCENTED, PLAIN = "".join(c for c, _ in _MARKED), "".join(b for _, b in _MARKED)
 
 
 def norm_name(c: Column) -> Column:
@@ -59,8 +63,8 @@ def utc_date(c: Column) -> Column:
 
 
 def search_terms(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased and without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased and without accents, whether these are written as marks of their own or not."""
+    return F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def l2(a: Column, b: Column) -> Column:

@@ -13,7 +13,6 @@ from mnemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-WORDS = "invoice again after lunch and the spare guitar"
 
 # Pieces of SQL that several queries share.
 OCC = r"""(CASE WHEN regexp_matches(occurred_at, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$') THEN
@@ -65,47 +64,6 @@ def recent_sort(spark, d):  # noqa: ANN001, ANN201
     return search.recent(search.candidates(table(spark, d, "artifacts")), 50).select(F.col("id").alias("artifact_id"), "occurred_at")
 
 
-VEC_SQL = "v AS (SELECT artifact_id, min(embedding) AS e FROM vec_artifacts WHERE len(embedding) = 64 AND NOT isnan(list_sum(embedding::DOUBLE[])) GROUP BY artifact_id), q AS (SELECT e FROM v WHERE list_sum(list_transform(e, lambda x: abs(x))) > 0 ORDER BY artifact_id LIMIT 1)"
-KNN_SQL = "n AS (SELECT artifact_id, round(list_distance(v.e::DOUBLE[], q.e::DOUBLE[]), 6) AS distance FROM v, q {0} ORDER BY distance, artifact_id LIMIT {1})"
-
-
-def _query_vector(spark: SparkSession, d: str) -> list[float] | None:
-    v = search.usable_vectors(table(spark, d, "vec_artifacts"), 64).filter(F.exists("embedding", lambda x: x != 0))
-    row = v.orderBy("artifact_id").limit(1).select("embedding").first()
-    return list(row[0]) if row else None
-
-
-@register(f"WITH {VEC_SQL}, {KNN_SQL.format('', 50)} SELECT * FROM n")
-def knn_l2(spark, d):  # noqa: ANN001, ANN201
-    return search.knn(table(spark, d, "vec_artifacts"), _query_vector(spark, d), 50)
-
-
-@register(f"WITH {VEC_SQL}, {KNN_SQL.format(f'WHERE artifact_id IN (SELECT id FROM artifacts WHERE type IN {SEARCHABLE})', 50)} SELECT * FROM n")
-def knn_filtered(spark, d):  # noqa: ANN001, ANN201
-    return search.knn(table(spark, d, "vec_artifacts"), _query_vector(spark, d), 50, search.candidates(table(spark, d, "artifacts")))
-
-
-BM25_SQL = f"""qt AS (SELECT unnest({TERMS.format("'" + WORDS + "'")}) AS t), qc AS (SELECT t, count(*) AS times FROM qt GROUP BY t),
- w AS (SELECT id, {TERMS.format('text_repr')} AS w FROM artifacts WHERE text_repr IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
- tf AS (SELECT id, len(w) AS dl, t, times, len(list_filter(w, lambda x: x = t)) AS f FROM w, qc), df AS (SELECT t, count(*) FILTER (f > 0) AS df FROM tf GROUP BY t),
- b AS (SELECT id AS artifact_id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (t), st WHERE f > 0 AND id IN (SELECT id FROM artifacts WHERE type IN {SEARCHABLE}) GROUP BY id ORDER BY score DESC, artifact_id LIMIT 50)"""
-
-
-@register(f"WITH {BM25_SQL} SELECT * FROM b")
-def bm25_rank(spark, d):  # noqa: ANN001, ANN201
-    art = table(spark, d, "artifacts")
-    return search.bm25(art, WORDS, 50, search.candidates(art))
-
-
-@register(f"""WITH {VEC_SQL}, {KNN_SQL.format(f'WHERE artifact_id IN (SELECT id FROM artifacts WHERE type IN {SEARCHABLE})', 50)}, {BM25_SQL},
- vr AS (SELECT artifact_id, row_number() OVER (ORDER BY distance, artifact_id) AS vector_rank FROM n), kr AS (SELECT artifact_id, row_number() OVER (ORDER BY score DESC, artifact_id) AS keyword_rank FROM b)
- SELECT artifact_id, COALESCE(vector_rank, 0) AS vector_rank, COALESCE(keyword_rank, 0) AS keyword_rank, round(COALESCE(1.0::DOUBLE / (60 + vector_rank), 0) + COALESCE(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS score FROM vr FULL JOIN kr USING (artifact_id) ORDER BY score DESC, vr.vector_rank NULLS LAST, kr.keyword_rank NULLS LAST LIMIT 10""")
-def search_hybrid(spark, d):  # noqa: ANN001, ANN201
-    art, vec = tables(spark, d, "artifacts", "vec_artifacts")
-    h = search.hybrid(art, vec, WORDS, _query_vector(spark, d), limit=10)
-    return h.select("artifact_id", F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.coalesce("keyword_rank", F.lit(0)).alias("keyword_rank"), "score")
-
-
 @register(f"WITH r AS (SELECT id, type, occurred_at, {OCC} AS day FROM artifacts), s AS (SELECT * FROM r WHERE day BETWEEN DATE '2023-01-01' AND DATE '2025-12-31') SELECT id AS artifact_id, type, occurred_at FROM s WHERE type NOT IN {DIGESTED} OR day NOT IN (SELECT day FROM s WHERE type = 'digest')")
 def timeline_digest(spark, d):  # noqa: ANN001, ANN201
     return search.timeline(table(spark, d, "artifacts"), "2023-01-01", "2025-12-31").select(F.col("id").alias("artifact_id"), "type", "occurred_at")

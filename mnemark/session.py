@@ -13,12 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder named by spark.checkpoint.dir; only where that is unset (tests), in a folder of its own."""
-    spark = df.sparkSession
+    """checkpoint() in the shared folder named by spark.checkpoint.dir; only where that is unset, on one machine, in a folder of its own."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, with cut()'s fallback."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: over several machines lineage is cut in a folder that all of them share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
