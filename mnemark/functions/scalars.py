@@ -71,6 +71,13 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine; null where either is null, of another length, or all zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (size > 0), 1 - dot(a, b) / size)
+
+
 def collapse_space(c: Column) -> Column:
     """Runs of blanks to one, none at line ends, at most one empty line, trimmed."""
     c = F.regexp_replace(c, r"[\s\x{A0}&&[^\n]]+", " ")

@@ -175,14 +175,16 @@ def normalize_phone(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "entity_aliases").filter("alias_type = 'phone'").groupBy("alias", S.norm_phone(F.col("alias")).alias("phone")).agg(F.countDistinct("entity_id").alias("entities"))
 
 
-HINTS_SQL = f"""h0 AS (SELECT artifact_id, role, confidence AS supplied, json_extract_string(attrs_json, '$.emails[0]') AS e, canonical_name AS c FROM entity_links JOIN entities ON id = entity_id AND kind = 'person' AND json_valid(attrs_json)),
- h1 AS (SELECT artifact_id, role, supplied, e AS alias, 'email' AS alias_type FROM h0 WHERE e IS NOT NULL UNION ALL SELECT artifact_id, role, supplied, c, 'name' FROM h0), h AS (SELECT artifact_id, role, supplied, alias_type, {NORM.format('alias')} AS alias FROM h1)"""
+HINTS_SQL = f"""h0 AS (SELECT artifact_id, role, confidence AS supplied, CASE WHEN json_type(attrs_json, '$.emails') = 'ARRAY' THEN CAST(json_extract_string(attrs_json, '$.emails[*]') AS VARCHAR[]) END AS e, canonical_name AS c FROM entity_links JOIN entities ON id = entity_id AND kind = 'person' AND json_valid(attrs_json)),
+ h1 AS (SELECT artifact_id, role, supplied, unnest(e) AS alias, 'email' AS alias_type FROM h0 UNION ALL SELECT artifact_id, role, supplied, c, 'name' FROM h0), h AS (SELECT artifact_id, role, supplied, alias_type, {NORM.format('alias')} AS alias FROM h1 WHERE alias IS NOT NULL)"""
 
 
 def _hints(spark: SparkSession, d: str) -> DataFrame:
     links, ent = tables(spark, d, "entity_links", "entities")
-    p = ent.filter(F.col("kind") == "person").filter(F.try_parse_json("attrs_json").isNotNull()).select(F.col("id").alias("entity_id"), F.get_json_object("attrs_json", "$.emails[0]").alias("e"), "canonical_name")
-    h = links.join(p, "entity_id").select("artifact_id", "role", F.col("confidence").alias("supplied"), F.explode(F.array(F.struct(F.col("e").alias("alias"), F.lit("email").alias("alias_type")), F.struct(F.col("canonical_name").alias("alias"), F.lit("name").alias("alias_type")))).alias("x"))
+    emails = F.from_json(F.get_json_object("attrs_json", "$.emails"), "array<string>")
+    said = F.concat(F.transform(F.coalesce(emails, F.array().cast("array<string>")), lambda e: F.struct(e.alias("alias"), F.lit("email").alias("alias_type"))), F.array(F.struct(F.col("canonical_name").alias("alias"), F.lit("name").alias("alias_type"))))
+    p = ent.filter(F.col("kind") == "person").filter(F.try_parse_json("attrs_json").isNotNull()).select(F.col("id").alias("entity_id"), said.alias("said"))
+    h = links.join(p, "entity_id").select("artifact_id", "role", F.col("confidence").alias("supplied"), F.explode("said").alias("x"))
     return h.select("artifact_id", "role", "supplied", "x.alias", "x.alias_type").filter("alias IS NOT NULL")
 
 
@@ -196,20 +198,6 @@ def staged_hints(spark, d):  # noqa: ANN001, ANN201
     return graph.link_hints(_hints(spark, d), table(spark, d, "entity_aliases"))[1].groupBy("alias", "alias_type").agg(F.count("*").alias("times"), F.min("artifact_id").alias("first_artifact"))
 
 
-REL_SQL = f"p AS (SELECT id AS f, {NORM.format("json_extract_string(attrs_json, '$.org')")} AS name FROM entities WHERE kind = 'person' AND merged_into IS NULL AND json_valid(attrs_json)), o AS (SELECT {NORM.format('canonical_name')} AS name, id AS t FROM entities WHERE kind = 'org' AND merged_into IS NULL), r AS (SELECT DISTINCT f, t FROM p JOIN o USING (name) WHERE name <> '' AND f <> t)"
-
-
-@register(f"WITH {REL_SQL} SELECT f AS from_entity_id, t AS to_entity_id, 'worksAt' AS relation_type, 'employer' AS raw_label FROM r")
-def relation_resolution(spark, d):  # noqa: ANN001, ANN201
-    return graph.works_at(table(spark, d, "entities"))
-
-
-@register(f"WITH {REL_SQL}, b AS (SELECT f AS entity_id, 'out' AS direction, t AS other_id FROM r UNION ALL SELECT t, 'in', f FROM r) SELECT entity_id, direction, 'worksAt' AS relation_type, other_id, canonical_name AS other_name FROM b JOIN entities ON id = other_id")
-def relations_in_out(spark, d):  # noqa: ANN001, ANN201
-    ent = table(spark, d, "entities")
-    return graph.relations_both_ways(graph.works_at(ent), ent)
-
-
 @register("""WITH RECURSIVE c AS (SELECT id, merged_into AS keep, 1 AS n FROM entities WHERE merged_into IS NOT NULL UNION ALL SELECT c.id, e.merged_into, n + 1 FROM c JOIN entities e ON e.id = c.keep WHERE e.merged_into IS NOT NULL AND n < 50), m AS (SELECT id, last(keep ORDER BY n) AS keep FROM c GROUP BY id),
  l AS (SELECT artifact_id, COALESCE(keep, entity_id) AS entity_id, role, confidence, keep IS NULL AS own FROM entity_links LEFT JOIN m ON m.id = entity_id)
  SELECT artifact_id, entity_id, role, first(confidence ORDER BY own DESC, COALESCE(confidence, -1) DESC) AS confidence FROM l GROUP BY 1, 2, 3""")
