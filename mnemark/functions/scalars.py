@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 from mnemark import model
+from mnemark.functions import states
 
 SPACE = r"[\s\x{A0}\x{FEFF}]"
 WRITTEN_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?\z"
@@ -96,3 +97,43 @@ def head_tail(c: Column, cap: int) -> Column:
 def apple_seconds(c: Column) -> Column:
     """Milliseconds since 1970 of a number counted from 2001, in nanoseconds where it is over 1e12."""
     return F.lit(978_307_200_000) + F.floor(F.when(c > 1e12, c / 1e6).otherwise(c * 1000))
+
+
+def _instant(y: Column, m: Column, d: Column, hour: Column, minute: Column, second: Column, sign: Column, oh: Column, om: Column) -> Column:
+    """Microseconds since 1970 UTC of the parts of a written time, null where one is impossible."""
+    n = lambda c: F.coalesce(F.nullif(c, F.lit("")).try_cast("int"), F.lit(0))
+    local = F.try_make_timestamp_ntz(n(y), n(m), n(d), n(hour), n(minute), n(second).cast("decimal(8,6)"))
+    shift = (n(oh) * 60 + n(om)) * F.when(sign == "-", -1).otherwise(1)
+    return F.unix_micros(local.cast("timestamp")) - shift.cast("long") * 60_000_000
+
+
+def pdf_date(c: Column, now_us: Column, first_year: int = 1980) -> Column:
+    """Microseconds UTC of a PDF date (D:YYYYMMDDHHmmSS and an offset, Z or none, which is UTC), from first_year on and not after now."""
+    p = r"^D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?:Z|([+-])(\d{2})'?(\d{2})?'?)?\z"
+    us = _instant(*(F.regexp_extract(c, p, i) for i in range(1, 10)))
+    return F.when(c.rlike(p) & (F.regexp_extract(c, p, 1).try_cast("int") >= first_year) & (us <= now_us), us)
+
+
+def office_date(c: Column, first_year: int = 1990) -> Column:
+    """Microseconds UTC of an office document's date (YYYY-MM-DDTHH:mm:ss and an offset, Z or none, which is UTC), from first_year on."""
+    p = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:Z|([+-])(\d{2}):(\d{2}))?\z"
+    return F.when(c.rlike(p) & (F.regexp_extract(c, p, 1).try_cast("int") >= first_year), _instant(*(F.regexp_extract(c, p, i) for i in range(1, 10))))
+
+
+def prompt_line(occurred_at: Column, kind: Column, place: Column, text: Column, clip: int) -> Column:
+    """One artifact as a line: its time of day where the text has one, its type, its place, and so many characters of it."""
+    return F.concat_ws(" ", F.nullif(F.regexp_extract(occurred_at, r"^\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2})", 1), F.lit("")), kind, F.concat(F.lit("@ "), place), F.substring(text, 1, clip))
+
+
+def full_place(label: Column) -> Column:
+    """"City, ST" with the state's name in place of its code; other labels as they are."""
+    code = F.regexp_extract(label, r", ([A-Z]{2})$", 1)
+    names = F.create_map(*(F.lit(x) for n, c in states.STATES.items() for x in (c, " ".join(w if w == "of" else w.capitalize() for w in n.split()))))
+    name = F.try_element_at(names, code)
+    return F.when(name.isNotNull(), F.concat(F.regexp_replace(label, r", [A-Z]{2}$", ", "), name)).otherwise(label)
+
+
+def redacted_url(c: Column) -> Column:
+    """An URL or path without the values of its query, its user and password, and runs of 16 or more hexadecimal digits in its path."""
+    c = F.regexp_replace(F.regexp_replace(c, r"//[^/@\s]*@", "//"), r"([?&][^=&\s]+)=[^&\s#]*", "$1=…")
+    return F.regexp_replace(c, r"(?i)(?<=/)[0-9a-f]{16,}(?=/|\?|$)", "…")

@@ -314,6 +314,6 @@ def digest_inputs(artifacts: DataFrame) -> DataFrame:
     rows = artifacts.filter(F.col("type").isin(model.DIGESTED)).withColumn("day", S.utc_date(F.col("occurred_at"))).filter("day IS NOT NULL")
     w = W.partitionBy("day").orderBy("occurred_at", "id")
     top = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= model.DIGEST_ROWS + 1)
-    line = F.concat_ws("|", "type", F.coalesce("place_label", F.lit("")), F.substring("text_repr", 1, model.DIGEST_CLIP))
+    line = S.prompt_line(F.col("occurred_at"), F.col("type"), F.col("place_label"), F.col("text_repr"), model.DIGEST_CLIP)
     in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= model.DIGEST_ROWS, F.struct("n", line.alias("line"))))), lambda x: x["line"])
     return top.groupBy("day").agg(F.least(F.count("*"), F.lit(model.DIGEST_ROWS)).alias("lines"), (F.count("*") > model.DIGEST_ROWS).alias("truncated"), F.sha2(F.array_join(in_order, "\n"), 256).alias("input_hash"))

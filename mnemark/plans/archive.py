@@ -251,22 +251,28 @@ def pictured_names(spark, d):  # noqa: ANN001, ANN201
 
 
 # Ingest.
-FOLD = ", ".join(f"last({c} ORDER BY id) FILTER ({c} IS NOT NULL) AS {c}" for c in ingest.MUTABLE) + ", " + ", ".join(f"first({c} ORDER BY id) AS {c}" for c in ingest.FIRST)
-
-
-@register(f"SELECT source, source_id, min(id) AS first_id, count(*) AS waves, {FOLD} FROM artifacts GROUP BY source, source_id, CASE WHEN source_id IS NULL THEN id END")
+@register("""SELECT source, source_id, min(id) AS first_id, count(*) AS waves, last(type ORDER BY id) AS type, last(occurred_at ORDER BY id) FILTER (occurred_at IS NOT NULL) AS occurred_at, last(latitude ORDER BY id) FILTER (latitude IS NOT NULL) AS latitude, last(longitude ORDER BY id) FILTER (longitude IS NOT NULL) AS longitude,
+ last(place_label ORDER BY id) FILTER (place_label IS NOT NULL) AS place_label, last(text_repr ORDER BY id) FILTER (text_repr IS NOT NULL) AS text_repr, last(extra_json ORDER BY id) FILTER (extra_json IS NOT NULL) AS extra_json, first(content_hash ORDER BY id) AS content_hash, first(raw_path ORDER BY id) AS raw_path FROM artifacts GROUP BY source, source_id, CASE WHEN source_id IS NULL THEN id END""")
 def upsert_fold(spark, d):  # noqa: ANN001, ANN201
     return ingest.fold(table(spark, d, "artifacts"))
 
 
-CHANGED = ", ".join(f"CASE WHEN {c} IS NOT NULL AND {c} IS DISTINCT FROM last_value({c} IGNORE NULLS) OVER (PARTITION BY source, source_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN '{c}' END" for c in ingest.MUTABLE)
+BEFORE = "OVER (PARTITION BY source, source_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+HISTORY_SQL = f"""hc AS (SELECT source, source_id, id, row_number() OVER (PARTITION BY source, source_id ORDER BY id) AS n, concat_ws(',', CASE WHEN type IS DISTINCT FROM last_value(type) {BEFORE} THEN 'type' END, CASE WHEN occurred_at IS NOT NULL AND occurred_at IS DISTINCT FROM last_value(occurred_at IGNORE NULLS) {BEFORE} THEN 'occurred_at' END,
+ CASE WHEN latitude IS NOT NULL AND latitude IS DISTINCT FROM last_value(latitude IGNORE NULLS) {BEFORE} THEN 'latitude' END, CASE WHEN longitude IS NOT NULL AND longitude IS DISTINCT FROM last_value(longitude IGNORE NULLS) {BEFORE} THEN 'longitude' END, CASE WHEN place_label IS NOT NULL AND place_label IS DISTINCT FROM last_value(place_label IGNORE NULLS) {BEFORE} THEN 'place_label' END,
+ CASE WHEN text_repr IS NOT NULL AND text_repr IS DISTINCT FROM last_value(text_repr IGNORE NULLS) {BEFORE} THEN 'text_repr' END, CASE WHEN extra_json IS NOT NULL AND extra_json IS DISTINCT FROM last_value(extra_json IGNORE NULLS) {BEFORE} THEN 'extra_json' END) AS changed FROM artifacts WHERE source_id IS NOT NULL)"""
 
 
-@register(f"SELECT source, source_id, id AS seq, changed FROM (SELECT source, source_id, id, concat_ws(',', {CHANGED}) AS changed, row_number() OVER (PARTITION BY source, source_id ORDER BY id) AS n FROM artifacts WHERE source_id IS NOT NULL) WHERE n > 1 AND changed <> ''")
+@register(f"WITH {HISTORY_SQL} SELECT source, source_id, id AS seq, changed FROM hc WHERE n > 1 AND changed <> ''")
 def upsert_history(spark, d):  # noqa: ANN001, ANN201
     return ingest.history(table(spark, d, "artifacts"))
 
 
+@register(f"WITH {HISTORY_SQL} SELECT id AS seq, 'ingest_create' AS event_type, 'ingest' AS actor, CAST(json_object('source', source, 'source_id', source_id) AS VARCHAR) AS details FROM hc WHERE n = 1 UNION ALL SELECT id, 'ingest_update', 'ingest', CAST(json_object('source', source, 'source_id', source_id, 'changed', changed) AS VARCHAR) FROM hc WHERE n > 1 AND changed <> ''")
+def audit_log(spark, d):  # noqa: ANN001, ANN201
+    return ingest.audit(table(spark, d, "artifacts"))
+
+
 @register("SELECT min(id) AS artifact_id FROM artifacts GROUP BY source, source_id, CASE WHEN source_id IS NULL THEN id END")
 def insert_if_absent(spark, d):  # noqa: ANN001, ANN201
     return ingest.first_of_each(table(spark, d, "artifacts"))
@@ -302,8 +308,8 @@ def manifest_changed(spark, d):  # noqa: ANN001, ANN201
     return f.groupBy("raw_path", "content_hash").agg(F.min("id").alias("artifact_id")).select("artifact_id", "raw_path")
 
 
-@register(f"""WITH r AS (SELECT *, {OCC} AS day FROM artifacts WHERE type IN {DIGESTED}), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY occurred_at, id) AS n FROM r WHERE day IS NOT NULL)
- SELECT CAST(day AS VARCHAR) AS day, least(count(*), 200) AS lines, count(*) > 200 AS truncated, sha256(string_agg(concat_ws('|', type, COALESCE(place_label, ''), substr(text_repr, 1, 500)), chr(10) ORDER BY n) FILTER (n <= 200)) AS input_hash FROM n WHERE n <= 201 GROUP BY day""")
+@register(rf"""WITH r AS (SELECT *, {OCC} AS day FROM artifacts WHERE type IN {DIGESTED}), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY occurred_at, id) AS n FROM r WHERE day IS NOT NULL)
+ SELECT CAST(day AS VARCHAR) AS day, least(count(*), 200) AS lines, count(*) > 200 AS truncated, sha256(string_agg(concat_ws(' ', nullif(regexp_extract(occurred_at, '^\d{{4}}-\d{{2}}-\d{{2}}[T ](\d{{2}}:\d{{2}})', 1), ''), type, '@ ' || place_label, substr(text_repr, 1, 500)), chr(10) ORDER BY n) FILTER (n <= 200)) AS input_hash FROM n WHERE n <= 201 GROUP BY day""")
 def daily_digest_inputs(spark, d):  # noqa: ANN001, ANN201
     return search.digest_inputs(table(spark, d, "artifacts")).withColumn("day", F.col("day").cast("string"))
 
@@ -352,12 +358,6 @@ def handle_annotation(spark, d):  # noqa: ANN001, ANN201
     return annotate.annotated(*tables(spark, d, "artifacts", "entity_links", "entities", "entity_aliases"))
 
 
-@register(f"SELECT a.place_label, min(e.id) AS entity_id, count(DISTINCT a.id) AS artifacts FROM artifacts a JOIN entities e ON e.kind = 'place' AND e.merged_into IS NULL AND starts_with({NORM.format('e.canonical_name')}, {NORM.format('a.place_label')}) GROUP BY 1")
-def forward_geocode(spark, d):  # noqa: ANN001, ANN201
-    art, ent = tables(spark, d, "artifacts", "entities")
-    return places.forward_geocode(art, ent)
-
-
 @register(f"WITH p AS (SELECT DISTINCT entity_id, alias, {DIGITS.format('alias')} AS phone FROM entity_aliases WHERE alias_type = 'phone'), b AS (SELECT DISTINCT entity_id, phone FROM p WHERE alias <> phone AND length(phone) >= 7 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.entity_id = p.entity_id AND q.alias = p.phone)) SELECT entity_id, phone, EXISTS (SELECT 1 FROM p q WHERE q.alias = b.phone AND q.entity_id <> b.entity_id) AS collides FROM b")
 def backfill_phones(spark, d):  # noqa: ANN001, ANN201
     return graph.phones_to_add(table(spark, d, "entity_aliases"))

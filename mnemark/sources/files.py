@@ -7,15 +7,21 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from mnemark import model
 
 PARTS = {".docx": r"word/document\.xml", ".pptx": r"ppt/slides/slide\d+\.xml", ".xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml"}
 MOST_BYTES = 50 * 1024 * 1024
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-# An issue or pull request as a link, and in short.
-LINK, SHORT = r"https://github\.com/([^/\s\"']+)/([^/\s\"']+)/(issues|pull)/(\d+)", r"([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)#(\d+)"
+# Where an issue or pull request stands: a link to it on the host, or owner/repo#number.
+NAME = r"[\w.-]+"
+LINK = rf"https?://github[.]com/({NAME})/({NAME})/(issues|pull)/([0-9]+)"
+SHORT = rf"(?<![\w/])({NAME})/({NAME})#([0-9]+)"
+# A command line that makes or merges one: the tool's name, its object and its verb, at the beginning of a command.
+COMMAND = r"(?:^|[;&|]\s*)gh\s+(issue|pr)\s+(create|merge)\b"
+# The name of a tool that does, after its server's: create_issue, create_pull_request, merge_pull_request.
+TOOL = r"__(create|merge)_(issue|pull_request)$"
 
 
 def xml_text(xml: str) -> str:
@@ -64,12 +70,51 @@ def match_sidecars(photos: DataFrame, sidecars: DataFrame, least: int = 6) -> Da
 
 
 def tool_events(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, action, owner, repo, number): issues and pull requests opened or merged, from one JSON event a line."""
+    """(kind, action, owner, repo, number): issues and pull requests opened or merged, from one JSON event a line.
+
+    What was done is read from the command itself or from the tool's name, never from words of a title; the number from the response,
+    else, for a merge, from the command. Events whose response tells of an error, and others, give no row.
+    """
     e = spark.read.schema("tool_name string, tool_input string, tool_response string").json(path)
-    text, command = F.concat_ws(" ", "tool_response", "tool_input"), F.coalesce(F.get_json_object("tool_input", "$.command"), F.col("tool_name"))
-    link, short = (lambda i: F.nullif(F.regexp_extract(text, LINK, i), F.lit(""))), (lambda i: F.nullif(F.regexp_extract(text, SHORT, i), F.lit("")))
-    out = e.select(F.when(link(3) == "issues", "issue").otherwise("pull").alias("kind"), F.when(command.rlike("merge"), "merge").when(command.rlike("create|open"), "open").alias("action"), F.coalesce(link(1), short(1)).alias("owner"), F.coalesce(link(2), short(2)).alias("repo"), F.coalesce(link(4), short(3)).cast("long").alias("number"))
-    return out.filter("action IS NOT NULL AND number IS NOT NULL")
+    command = F.coalesce(F.get_json_object("tool_input", "$.command"), F.lit(""))
+    part = lambda c, p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
+    verb, what = F.coalesce(part(command, COMMAND, 2), part(F.col("tool_name"), TOOL, 1)), F.coalesce(part(command, COMMAND, 1), part(F.col("tool_name"), TOOL, 2))
+    response = F.coalesce(F.col("tool_response"), F.lit(""))
+    failed = F.coalesce(F.get_json_object("tool_response", "$.is_error") == "true", F.lit(False)) | F.coalesce(F.get_json_object("tool_response", "$.interrupted") == "true", F.lit(False)) | F.coalesce(F.get_json_object("tool_response", "$.exit_code").try_cast("int") != 0, F.lit(False))
+    where = F.when(response.rlike(LINK) | response.rlike(SHORT), response).when(verb == "merge", F.concat_ws(" ", command, "tool_input"))
+    out = e.select(
+        F.when(what == "issue", "issue").otherwise("pull").alias("kind"), F.when(verb == "merge", "merge").otherwise("open").alias("action"),
+        F.coalesce(part(where, LINK, 1), part(where, SHORT, 1)).alias("owner"), F.coalesce(part(where, LINK, 2), part(where, SHORT, 2)).alias("repo"),
+        F.coalesce(part(where, LINK, 4), part(where, SHORT, 3)).cast("long").alias("number"), verb.alias("verb"), failed.alias("failed"),
+    )
+    return out.filter("verb IS NOT NULL AND NOT failed AND number IS NOT NULL").drop("verb", "failed")
+
+
+def takeout_roots(files: DataFrame) -> DataFrame:
+    """(root, sidecars, media): folders with `Takeout` in their path, or with photos beside JSON sidecars of theirs, from (path)."""
+    p = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("root"), F.lower("path").alias("path"))
+    counts = p.groupBy("root").agg(F.sum(F.col("path").rlike(r"[.](jpe?g|heic|png|mp4|mov)[.][^/]*json$|[.](jpe?g|heic|png|mp4|mov)[.]json$").cast("int")).alias("sidecars"), F.sum(F.col("path").rlike(r"[.](jpe?g|heic|png|mp4|mov)$").cast("int")).alias("media"))
+    return counts.filter(F.lower("root").rlike("(^|/)takeout(/|$)") | ((F.col("sidecars") > 0) & (F.col("media") > 0)))
+
+
+#: Characters of a session's end that its text keeps.
+TAIL = 16_000
+
+
+def transcripts(spark: SparkSession, path: str, tail: int = TAIL) -> DataFrame:
+    """(session, turns, user_turns, text): sessions of one JSON message a line (session, turn, role, text), in the order of their turns,
+    with the role before each, as the last `tail` characters. Messages without text aren't counted, repeated turns count once, and
+    sessions without a turn of the user give none.
+
+    A session's turns are reduced to the newest that fill the tail before they are put together, so a session of any length fits.
+    """
+    m = spark.read.schema("session string, turn long, role string, text string").json(path).filter("session IS NOT NULL AND trim(text) <> ''")
+    m = m.groupBy("session", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("session", "turn", "m.role", F.concat_ws(": ", "m.role", F.col("m.text")).alias("line"))
+    counts = m.groupBy("session").agg(F.count("*").alias("turns"), F.sum((F.col("role") == "user").cast("int")).alias("user_turns")).filter("user_turns > 0")
+    after = F.sum(F.length("line") + 1).over(W.partitionBy("session").orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, -1))
+    kept = m.withColumn("after", F.coalesce(after, F.lit(0))).filter(F.col("after") < tail)
+    text = kept.groupBy("session").agg(F.right(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.right("line", F.lit(tail)).alias("line")))), lambda x: x["line"]), "\n"), F.lit(tail)).alias("text"))
+    return counts.join(text, "session")
 
 
 def read_gazetteer(spark: SparkSession, path: str, states: dict[str, str]) -> DataFrame:

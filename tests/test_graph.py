@@ -73,12 +73,81 @@ def test_fusion_and_fallback(spark):
     assert [r.artifact_id for r in search.fuse(v, w, 5).collect()] == [2, 1, 3]
     art = spark.createDataFrame([(1, "note", "2026-06-10", "spare guitar", "Norvale"), (2, "visit", "2026-06-10", "spare guitar", None), (3, "note", "2026-01-10", "spare guitar", None)], "id long, type string, occurred_at string, text_repr string, place_label string")
     vec = spark.createDataFrame([], "artifact_id long, embedding array<float>")
-    find = lambda **k: [r.artifact_id for r in search.hybrid(art, vec, "guitar", None, **k).collect()]
-    assert sorted(find()) == [1, 3] and find(types=["visit"]) == [2] and find(start="2026-06-01", end="2026-06-30") == [1] and find(place=["%nor%"]) == [1]
-    assert sorted(find(place=["%nowhere%"])) == [1, 3] and find(place=["%nowhere%"], fallback=False) == []
+    links = spark.createDataFrame([], "artifact_id long, entity_id long, role string")
+    find = lambda **k: [r.artifact_id for r in search.search(art, vec, links, aliases(spark, [(1, "a", "name")]), search.live_index(art), search.Query("guitar", **k)).collect()]
+    assert sorted(find()) == [1, 3] and find(types=["visit"]) == [2] and find(start="2026-06-01", end="2026-06-30") == [1] and find(place="nor") == [1]
+    assert sorted(find(place="nowhere")) == [1, 3] and find(start="2030-01-01", end="2030-02-01") == []
 
 
 def test_dates(spark):
     t = ["2026-03-15T20:00-08:00", "2026-03-15", "2026-03-15 10:00", "2026-02-30", "junk", None, "2026-03-15T20:00:00Z\n", "2026-03-15T00:30+05:30"]
     got = [str(r[0]) if r[0] else None for r in spark.createDataFrame([(x,) for x in t], "t string").select(S.utc_date(F.col("t"))).collect()]
     assert got == ["2026-03-16", "2026-03-15", "2026-03-15", None, None, None, None, "2026-03-14"]
+
+
+def test_cycles_of_merges_end_at_the_smallest(spark):
+    ents = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (0, 4), (4, 1), (5, 6), (6, None), (7, 7), *((i, i - 1) for i in range(101, 300)), (100, None)], "id long, merged_into long")
+    got = {r.id: r.keep for r in graph.final_ids(ents).collect()}
+    assert [got[i] for i in (1, 2, 3, 0, 4, 5, 7)] == [1, 1, 1, 1, 1, 6, 7] and {got[i] for i in range(101, 300)} == {100}
+    assert graph.final_ids(ents.limit(0)).count() == 0
+
+
+def test_accents_of_any_language(spark):
+    df = spark.createDataFrame([("Dvořák Erdős Łódź naïve e\u0301tude",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.search_terms(F.col("t"))).collect()] == [["dvorak", "erdos", "łodz", "naive", "etude"], None]
+
+
+def test_bm25_index_follows_changes(spark, tmp_path):
+    art = spark.createDataFrame([(1, "red lamp lamp"), (2, "blue lamp"), (3, None), (4, "")], "id long, text_repr string")
+    search.index_texts(art, str(tmp_path / "i"))
+    new = spark.createDataFrame([(2, "green door"), (5, "lamp")], "id long, text_repr string")
+    search.index_texts(new, str(tmp_path / "i"), 1)
+    whole = search.live_index(art.filter("id <> 2").unionByName(new))
+    rows = lambda index, q: [tuple(r) for r in search.bm25(index, q, 9).collect()]
+    for q in ("lamp", "lamp lamp green", "nothing", "?"):
+        assert rows(search.read_index(spark, str(tmp_path / "i")), q) == rows(whole, q)
+    asked = spark.createDataFrame([(7, "lamp lamp green"), (8, None), (9, "?")], "query_id long, text string")
+    got = [(r.artifact_id, r.score) for r in search.bm25_set(whole, asked, 9).orderBy("rank").collect()]
+    assert got == rows(whole, "lamp lamp green")
+
+
+def test_search_options(spark):
+    art = spark.createDataFrame([(1, "note", "2024-01-01", "Austin, TX", 0.0, 0.0, "a lamp"), (2, "note", "2024-01-02", None, 0.0, 179.99, "b"), (3, "visit", "2024-01-03", "x", 89.99, 100.0, "lamp"), (4, "note", None, None, None, None, None)], "id long, type string, occurred_at string, place_label string, latitude double, longitude double, text_repr string")
+    links = spark.createDataFrame([(1, 10, "sender"), (2, 11, "sender")], "artifact_id long, entity_id long, role string")
+    al = aliases(spark, [(10, "Mara Hollikson", "name"), (11, "Noe Lee", "name"), (12, "Noe Birk", "name")])
+    ids = lambda **k: sorted(r.id for r in search.found(art, links, al, search.Query(**k))[0].collect())
+    assert ids(place="Texas") == [1] and ids(entities=["mara", "noe"]) == [1] and ids(entities=["noe"]) == [1, 2, 4]
+    assert ids(near=(0.0, -179.99), radius_km=10) == [2] and ids(near=(91.0, 0.0)) == [1, 2, 4]
+    assert ids(types=["visit"], near=(90.0, 0.0), radius_km=9999) == [3]
+    assert ids(types=["visit"], place="Texas") == [3]
+    assert search.found(art, links, al, search.Query("q", place="Nowhere", entities=["zed"]))[1] == "q zed Nowhere"
+
+
+def test_query_set_of_vectors(spark):
+    import numpy as np
+
+    how = np.random.default_rng(2)
+    x = how.normal(size=(60, 4)).round(1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(3, [9.0] * 4), (61, None), (62, [1.0])], "artifact_id long, embedding array<double>")
+    q = df.filter("artifact_id IN (3, 7)").filter("embedding[0] < 9").withColumnRenamed("artifact_id", "query_id")
+    got = {(r.query_id, r["rank"]): r.artifact_id for r in search.knn_set(df, q, 5, 4, block=1, slice_rows=7).collect()}
+    for i in (3, 7):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)
+        assert [got[i, r] for r in range(1, 6)] == sorted(range(60), key=lambda k: (d[k], k))[:5]
+
+
+def test_one_key_of_many_rows(spark):
+    from mnemark.operators import ingest, places
+
+    e = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS u", "timestamp_seconds(id * 700 + IF(id > 1500, 9000, 0)) AS ts")
+    assert places.sessions(e.filter("u = 1"), "u", "ts", 60).select("n").orderBy("started").collect() == [(502,), (499,)]
+    waves = spark.range(300).selectExpr("id", "'s' AS source", "'k' AS source_id", "'note' AS type", "CAST(NULL AS STRING) AS occurred_at", "CAST(NULL AS DOUBLE) AS latitude", "1.0D AS longitude", "IF(id % 100 = 0, CAST(id AS STRING), NULL) AS place_label", "'t' AS text_repr", "NULL AS extra_json")
+    assert sorted((r.seq, r.changed) for r in ingest.history(waves, piece=7).collect()) == [(100, "place_label"), (200, "place_label")]
+
+
+def test_dates_and_labels(spark):
+    us = lambda f, *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "t string").select(f(F.col("t"))).collect()]
+    assert us(lambda c: S.pdf_date(c, F.lit(1_700_000_000_000_000)), "D:20200101003000+01'00'", "D:20200101000000Z", "D:20200231000000Z", "D:19700101000000Z", "D:20990101000000Z", None) == [1577835000000000, 1577836800000000, None, None, None, None]
+    assert us(S.office_date, "2020-01-01T00:00:00Z", "2020-01-01T00:00:00-01:00", "2020-01-01T00:00:00", "1980-01-01T00:00:00Z", "junk") == [1577836800000000, 1577840400000000, 1577836800000000, None, None]
+    assert us(S.full_place, "Austin, TX", "Paris, FR", None) == ["Austin, Texas", "Paris, FR", None]
+    assert us(S.redacted_url, "https://u:p@h.example/a/0123456789abcdef01?token=s&x=1#f") == ["https://h.example/a/…?token=…&x=…#f"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from mnemark.plans import archive, general, people, retrieval  # noqa: F401
+from mnemark.plans import archive, general, intake, people, retrieval  # noqa: F401
 
 from .conftest import DATA
 from .oracle import connect, rows

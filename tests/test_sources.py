@@ -7,7 +7,9 @@ import sqlite3
 import zipfile
 
 from mnemark.functions import states
+from mnemark.operators import graph
 from mnemark.sources import chat, files, vcard
+from pyspark.sql import functions as F
 
 CARDS = "BEGIN:VCARD\r\nVERSION:3.0\r\nUID:u1\r\nFN:Mara\r\n  Hollikson\r\nN:Hollikson;Mara;;;\r\nitem1.EMAIL;TYPE=HOME:M@X.example\r\nTEL;TYPE=CELL:+1 (555) 111-2222\r\nTEL:+1 (555) 111-2222\r\nORG:Mill\\, Inc;Ops\r\nEND:VCARD\r\nBEGIN:VCARD\nFN:Acme\nKIND:org\nEND:VCARD\nBEGIN:VCARD\nTEL:12\nEND:VCARD\n"
 
@@ -69,6 +71,37 @@ def test_events_gazetteer_payloads(spark, tmp_path):
     assert [r.error for r in files.read_payloads(spark, str(tmp_path / "p.json")).orderBy("item").collect()] == [None, "unknown key", "unknown type", "missing field", None]
 
 
+def test_tool_events_read_commands_not_titles(spark, tmp_path):
+    bash = lambda c, r: {"tool_name": "Bash", "tool_input": json.dumps({"command": c}), "tool_response": r}
+    link = "https://github.com/o/r/pull/5"
+    rows = [bash("cd x && gh pr create --title 'fix merge order'", link), bash("echo gh pr merge", link), bash("gh issue create", json.dumps({"is_error": True, "out": "https://github.com/o/r/issues/8"}))]
+    rows += [{"tool_name": "mcp__host__create_issue", "tool_input": "{}", "tool_response": "https://github.com/o/r/issues/9"}, {"tool_name": "mcp__host__get_issue", "tool_input": "{}", "tool_response": "https://github.com/o/r/issues/9"}, bash("gh pr merge o/r#6 --squash", ""), {"tool_name": None, "tool_input": None, "tool_response": None}]
+    (tmp_path / "e.json").write_text("\n".join(map(json.dumps, rows)))
+    assert sorted(tuple(r) for r in files.tool_events(spark, str(tmp_path / "e.json")).collect()) == [("issue", "open", "o", "r", 9), ("pull", "merge", "o", "r", 6), ("pull", "open", "o", "r", 5)]
+
+
+def test_transcripts(spark, tmp_path):
+    said = [("a", 2, "assistant", "two"), ("a", 1, "user", "one"), ("a", 1, "user", "one"), ("b", 1, "assistant", "alone"), ("c", 1, "user", "x" * 90), ("c", 2, "assistant", "end"), ("d", 1, "user", " "), (None, 1, "user", "q")]
+    (tmp_path / "t.json").write_text("\n".join(json.dumps(dict(zip(("session", "turn", "role", "text"), r))) for r in said))
+    got = {r.session: (r.turns, r.user_turns, r.text) for r in files.transcripts(spark, str(tmp_path / "t.json"), 40).collect()}
+    assert got == {"a": (2, 1, "user: one\nassistant: two"), "c": (2, 1, "x" * 25 + "\nassistant: end")}
+
+
+def test_takeout_roots(spark):
+    df = spark.createDataFrame([("/x/Takeout/a.jpg",), ("/y/p/b.jpg",), ("/y/p/b.jpg.json",), ("/z/c.jpg",)], "path string")
+    assert sorted(r.root for r in files.takeout_roots(df).collect()) == ["/x/Takeout", "/y/p"]
+
+
+def test_card_relations_and_addresses(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text("BEGIN:VCARD\nFN:Mara\nADR;TYPE=HOME:;;1 Elm Road;Wexholm;;75712;\nitem2.X-ABRELATEDNAMES;type=pref:Noe Lee Birkwick\nitem2.X-ABLabel:_$!<Brother>!$_\nRELATED;VALUE=text;TYPE=friend:Ann\nEND:VCARD\n")
+    cards = vcard.read_cards(spark, str(tmp_path))
+    r = cards.first()
+    assert r.addresses == ["1 Elm Road, Wexholm, 75712"] and [tuple(x) for x in r.related] == [("Noe Lee Birkwick", "Brother"), ("Ann", "friend")]
+    assert vcard.unchanged(cards, cards).count() == 0
+    staged = graph.staged_relations(vcard.relation_hints(cards.withColumn("artifact_id", F.lit(1))))
+    assert sorted((x.alias, x.label) for x in staged.collect()) == [("ann", "friend"), ("noe birkwick", "Brother"), ("noe lee birkwick", "Brother")]
+
+
 def test_states():
     assert states.state("tx") == ("TX", "Texas") and states.state("District of Columbia") == ("DC", "District of Columbia") and states.state("Paris") is None
     assert states.place_patterns("Texas") == ["%Texas%", "%, TX"] and states.place_patterns("Norvale") == ["%Norvale%"]

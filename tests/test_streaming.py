@@ -28,7 +28,7 @@ def test_fold_against_a_loop(spark):
     import random
 
     how = random.Random(6)
-    waves = [(i, how.choice(["note", None, "post"]), "s", how.choice(["k1", "k2", None]), how.choice([None, "h1", "h2"]), how.choice([None, "2024"]), how.choice([None, "p"]), how.choice([None, "r"]), how.choice([None, "t1", "t2"]), None) for i in range(200)]
+    waves = [(i, how.choice(["note", None, "post"]), "s", how.choice(["k1", "k2", None]), how.choice([None, "h1", "h2"]), how.choice([None, "2024"]), how.choice([None, 1.5]), how.choice([None, -2.5, 3.0]), how.choice([None, "p"]), how.choice([None, "r"]), how.choice([None, "t1", "t2"]), None) for i in range(200)]
     names = [f.split()[0] for f in stream.SCHEMA.split(", ")]
     state: dict = {}
     for w in (dict(zip(names, x)) for x in waves):
@@ -51,3 +51,14 @@ def test_sessions(spark, tmp_path):
     q.awaitTermination()
     closed = sorted((r.user_id, r.n) for r in spark.sql("SELECT * FROM sess").collect())
     assert closed == [x for x in batch if x[0] != 9]
+
+
+def test_only_touched_days_are_renewed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    days = lambda k, *ds: "\n".join(json.dumps(row(k + i, f"{k}-{i}", occurred_at=f"{x}T10:00:00Z")) for i, x in enumerate(ds))
+    for n, text in enumerate((days(1, "2024-01-01", "2024-01-02"), days(10, "2024-01-02"))):
+        (tmp_path / f"in/{n}.json").write_text(text)
+        stream.keep(stream.waves(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    none = spark.createDataFrame([], "day date, input_hash string")
+    renewed = lambda known, b: sorted(str(r.day) for r in stream.digests_to_renew(spark, str(tmp_path / "log"), known, b).collect())
+    assert renewed(none, None) == ["2024-01-01", "2024-01-02"] and renewed(none, [1]) == ["2024-01-02"]
