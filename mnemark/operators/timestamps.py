@@ -1,8 +1,8 @@
 """Mixed timestamp formats and zones to one UTC instant.
 
-Each text becomes a character-class mask (digits 9, letter runs a). Each distinct mask is mapped to a family of formats once per
-Python worker; the texts of one family are then taken apart together, and all rows of a batch are converted with numpy through the
-zone transition tables of functions/zones.py.
+Each text becomes a mask with 9 for its digits. Each distinct mask is mapped to a parser once per Python worker, which knows where the
+fields stand; the texts of one mask are then taken apart together by these positions, and all rows of a batch are converted with numpy
+through the zone transition tables of functions/zones.py, of one version on all workers.
 """
 
 from __future__ import annotations
@@ -41,30 +41,65 @@ FAMILIES = [
     ("slash", r"99?/99?/99(?:99)? 9.*", rf"(?P<d>\d{{1,2}})/(?P<m>\d{{1,2}})/(?P<y>\d{{4}}|\d\d),? {TIME}{ZONE}"),
     ("number", r"9{9,19}(?:\.9+)?", r"(?P<y>\d{9,19})(?:\.(?P<f>\d+))?"),
 ]
-TEXTS = [re.compile(t) for _, _, t in FAMILIES]
+# Digits are 0 to 9 alone, as in the masks.
+TEXTS = [re.compile(re.sub(r"(?<!\\W)\\d", "[0-9]", t)) for _, _, t in FAMILIES]
 MASKS = [re.compile(m) for _, m, _ in FAMILIES]
+LETTERS = re.compile(r"[^\W\d_]+")
 US = 1_000_000
 COUNT_FROM, COUNT_TO = (int(np.datetime64(d, "us").astype(np.int64)) for d in ("2015-01-01", "2027-01-01"))
 
 
 def shape_mask(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, "0123456789", "9999999999"), r"\p{L}+", "a")
+    """A text with 9 for each digit. Letters stay, so that month names and zones are the mask's own."""
+    return F.translate(text, "0123456789", "9999999999")
+
+
+class Parser:
+    """Where in the texts of one mask the fields stand, and what the mask itself tells."""
+
+    def __init__(self, kind: str, m: re.Match) -> None:
+        self.kind, self.m, self.width = kind, m, m.end()
+        has = lambda g: g in m.re.groupindex and m[g]
+        self.at = {g: m.span(g) for g in ("y", "m", "d", "H", "h", "M", "n", "S", "f") if has(g)}
+        self.month = MONTHS.get(m["m"].lower(), 0) if kind == "named" else None
+        self.half = m["p"].lower() if has("p") else ""
+        self.zone, self.zone_at = (m["z"], m.span("z")) if has("z") else ("", None)
+        self.area_at = m.span("i") if has("i") else None
+
+    def numbers(self, chars: np.ndarray, *fields: str, first: int | None = None, default: int = 0) -> np.ndarray:
+        """The digits of a field as numbers; of a fraction, `first` digits, padded with zeros."""
+        span = next((self.at[f] for f in fields if f in self.at), None)
+        if span is None:
+            return np.full(len(chars), default, dtype=np.int64)
+        a, b = span
+        b = b if first is None else min(b, a + first)
+        v = np.zeros(len(chars), dtype=np.uint64)
+        for k in range(a, b):
+            v = v * np.uint64(10) + (chars[:, k] - np.uint32(48)).astype(np.uint64)
+        return np.minimum(v, np.uint64(2**62)).astype(np.int64) * (1 if first is None else 10 ** (first - (b - a)))
+
+    def offsets(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offset of the written zone in microseconds, and whether there is such a zone."""
+        n = len(chars)
+        if self.zone[0] not in "+-":
+            hours = zones.ABBREVIATIONS.get(self.zone.upper())
+            return np.full(n, int((hours or 0) * 3600 * US), dtype=np.int64), np.full(n, hours is not None)
+        a, _ = self.zone_at
+        digits = [k + a for k, c in enumerate(self.zone) if c == "9"]
+        d = [(chars[:, k] - np.uint32(48)).astype(np.int64) for k in digits] + [np.zeros(n, dtype=np.int64)] * (4 - len(digits))
+        h, m = d[0] * 10 + d[1], d[2] * 10 + d[3]
+        return (1 if self.zone[0] == "+" else -1) * (h * 60 + m) * 60 * US, (h <= 15) & (m < 60)
 
 
 @lru_cache(100_000)
-def family(mask: str) -> int:
-    return next((k for k, m in enumerate(MASKS) if m.fullmatch(mask)), -1)
-
-
-@lru_cache(10_000)
-def offset_us(zone: str) -> int | None:
-    if zone.upper() in zones.ABBREVIATIONS:
-        return int(zones.ABBREVIATIONS[zone.upper()] * 3600 * US)
-    if zone[0] not in "+-":
-        return None
-    digits = re.sub(r"\D", "", zone).ljust(4, "0")
-    h, m = int(digits[:2]), int(digits[2:])
-    return (1 if zone[0] == "+" else -1) * (h * 60 + m) * 60 * US if h <= 15 and m < 60 else None
+def parser(mask: str) -> Parser | None:
+    """The parser of a mask: the first family of its shape whose pattern the mask itself fits."""
+    shape = LETTERS.sub("a", mask)
+    for k, m in enumerate(MASKS):
+        if m.fullmatch(shape):
+            found = TEXTS[k].fullmatch(mask)
+            return Parser(FAMILIES[k][0], found) if found else None
+    return None
 
 
 def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,22 +110,23 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return first + d - 1, ok & (d <= after - first)
 
 
-def convert(texts: list, masks: list, tz: list, home: list, order: list, counts_from: np.ndarray, tables: dict) -> np.ndarray:
-    """One batch: microseconds UTC as float-free int64, with the least int64 for none."""
-    n, none = len(texts), np.iinfo(np.int64).min
-    out = np.full(n, none, dtype=np.int64)
-    kinds = np.array([family(m) if m is not None else -1 for m in masks])
+def convert(texts: np.ndarray, masks: np.ndarray, tz: np.ndarray, home: np.ndarray, order: np.ndarray, counts_from: np.ndarray, files: dict) -> np.ndarray:
+    """One batch, taken apart mask by mask: microseconds UTC as float-free int64, with the least int64 for none."""
+    none = np.iinfo(np.int64).min
+    out = np.full(len(texts), none, dtype=np.int64)
     local, where, zone = [], [], []
-    for k in np.unique(kinds[kinds >= 0]):
-        kind, pattern, at = FAMILIES[k][0], TEXTS[k], np.flatnonzero(kinds == k)
-        found = [(i, m.groupdict()) for i in at if (m := pattern.fullmatch(texts[i]))]
-        if not found:
+    codes, distinct = pd.factorize(masks)
+    by_mask = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[by_mask], np.arange(len(distinct) + 1))
+    for k, mask in enumerate(distinct):
+        p = parser(mask)
+        if p is None:
             continue
-        at = np.array([i for i, _ in found])
-        get = lambda *names, default=0: np.array([int(next((g[x] for x in names if g.get(x)), default)) for _, g in found], dtype=np.int64)  # noqa: B023, E731
-        micros = np.array([int((g.get("f") or "")[:6].ljust(6, "0")) for _, g in found], dtype=np.int64)
-        if kind == "number":
-            v, got, sure = get("y"), np.full(len(at), none, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        at = by_mask[ends[k] : ends[k + 1]]
+        chars = np.array(texts[at], dtype=f"U{p.width}").view(np.uint32).reshape(len(at), p.width)
+        micros = p.numbers(chars, "f", first=6) if "f" in p.at else np.zeros(len(at), dtype=np.int64)
+        if p.kind == "number":
+            v, got, sure = p.numbers(chars, "y"), np.full(len(at), none, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
             base = counts_from[at]
             for mul, div in ((US, 1), (1000, 1), (1, 1), (1, 1000)):
                 fits = v < (2**62) // mul
@@ -99,43 +135,45 @@ def convert(texts: list, masks: list, tz: list, home: list, order: list, counts_
                 got, sure = np.where(hit, us, got), sure + hit
             out[at] = np.where(sure == 1, got, none)
             continue
-        y, d = get("y"), get("d")
-        y = np.where(np.array([len(g["y"]) == 2 for _, g in found]), y + 2000, y)
-        m = np.array([MONTHS.get(g["m"].lower(), 0) for _, g in found], dtype=np.int64) if kind == "named" else get("m", default=1)
-        if kind == "slash":
-            first_month = np.array([order[i] == "mdy" for i in at])
+        y, d = p.numbers(chars, "y"), p.numbers(chars, "d")
+        if p.at["y"][1] - p.at["y"][0] == 2:
+            y = y + 2000
+        m = np.full(len(at), p.month, dtype=np.int64) if p.kind == "named" else p.numbers(chars, "m", default=1)
+        if p.kind == "slash":
+            first_month = order[at] == "mdy"
             d, m = np.where(first_month, m, d), np.where(first_month, d, m)
-        if kind == "ordinal":
+        if p.kind == "ordinal":
             one = np.ones(len(at), dtype=np.int64)
             days, ok = _days(y, one, one)
             days, ok = days + d - 1, ok & (d >= 1) & (d <= _days(y + 1, one, one)[0] - days)
-        elif kind == "week":
+        elif p.kind == "week":
             one = np.ones(len(at), dtype=np.int64)
-            monday = lambda y: (j := _days(y, one, one * 4)[0]) - (j + 3) % 7
+            monday = lambda y: (j := _days(y, one, one * 4)[0]) - (j + 3) % 7  # noqa: B023, E731
             days = monday(y) + (m - 1) * 7 + d - 1
             ok = (y >= 1) & (m >= 1) & (d >= 1) & (d <= 7) & (days < monday(y + 1))
         else:
             days, ok = _days(y, m, d)
-        hour, minute, second = get("H", "h"), get("M", "n"), get("S")
-        half = [(g.get("p") or "").lower() for _, g in found]
-        am, pm = np.array([x == "a" for x in half]), np.array([x == "p" for x in half])
-        ok &= np.where(am | pm, (hour >= 1) & (hour <= 12), hour <= 23) & (minute <= 59) & (second <= 59)
-        hour = np.where(am | pm, hour % 12 + 12 * pm, hour)
+        hour, minute, second = p.numbers(chars, "H", "h"), p.numbers(chars, "M", "n"), p.numbers(chars, "S")
+        ok &= ((hour >= 1) & (hour <= 12) if p.half else hour <= 23) & (minute <= 59) & (second <= 59)
+        hour = hour % 12 + 12 * (p.half == "p") if p.half else hour
         us = ((days * 24 + hour) * 60 + minute) * 60 * US + second * US + micros
-        for (i, g), u, good in zip(found, us, ok):
-            if good:
-                z, area = g.get("z"), g.get("i") or (tz[i] if tz[i] in tables else home[i])
-                off = offset_us(z) if z else None
-                if off is not None:
-                    out[i] = u - off
-                elif not z:
-                    local.append(u), where.append(i), zone.append(area)
+        if p.zone:
+            off, known = p.offsets(chars)
+            out[at] = np.where(ok & known, us - off, none)
+            continue
+        if p.area_at:
+            area = np.array([t[slice(*p.area_at)] for t in texts[at]], dtype=object)
+        else:
+            area = np.array([z if z in files else h for z, h in zip(tz[at], home[at])], dtype=object)
+        local.append(us[ok]), where.append(at[ok]), zone.append(area[ok])
     if local:
-        local, where, zone = np.array(local, dtype=np.int64), np.array(where), np.array([z if z in tables else "" for z in zone], dtype=object)
-        for z in set(zone) - {""}:
-            at = zone == z
-            utc, hits = zones.to_utc_us(local[at], tables[z])
-            out[where[at]] = np.where(hits == 1, utc, none)
+        local, where, zone = np.concatenate(local), np.concatenate(where), np.concatenate(zone)
+        codes, names = pd.factorize(zone)
+        for k, z in enumerate(names):
+            if z in files:
+                at = codes == k
+                utc, hits = zones.to_utc_us(local[at], zones.transitions(files[z]))
+                out[where[at]] = np.where(hits == 1, utc, none)
     return out
 
 
@@ -148,13 +186,13 @@ def utc_instants(df: DataFrame, text: str, zone: str, home_zone: str, day_order:
     and a missing home zone where one is needed, give null. All other columns and all rows, repeated ones too, are kept.
     """
     spark = df.sparkSession
-    tables = spark.sparkContext.broadcast((zones.version(), zones.zone_tables()))
+    shared = spark.sparkContext.broadcast((zones.version(), zones.files()))
     inner = "_ts_"
     t = F.regexp_replace(F.col(text), r"^[\s\x{FEFF}\x{A0}]+|[\s\x{A0}]+$", "")
     staged = df.select("*", t.alias(f"{inner}t"), shape_mask(t).alias(f"{inner}m"), F.col(zone).alias(f"{inner}z"), F.col(home_zone).alias(f"{inner}h"), F.col(day_order).alias(f"{inner}o"), F.coalesce(F.unix_date(F.try_to_date(F.col(counts_from))), F.lit(0)).cast("long").alias(f"{inner}c"))
 
     def run(t: pd.Series, m: pd.Series, z: pd.Series, h: pd.Series, o: pd.Series, c: pd.Series) -> pd.Series:
-        us = convert(t.tolist(), m.tolist(), z.tolist(), h.tolist(), o.tolist(), c.to_numpy(dtype=np.int64) * 86400 * US, tables.value[1])
+        us = convert(*(x.to_numpy(dtype=object) for x in (t, m, z, h, o)), c.to_numpy(dtype=np.int64) * 86400 * US, shared.value[1])
         return pd.Series(us, dtype="Int64").mask(us == np.iinfo(np.int64).min)
 
     udf = F.pandas_udf(run, "long")

@@ -43,11 +43,22 @@ def test_empty_and_repeated(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.datetimes(datetime(2014, 1, 1), datetime(2027, 1, 1)), st.sampled_from(["America/New_York", "Australia/Lord_Howe", "Asia/Kathmandu", "America/St_Johns", "Europe/London", "America/Sao_Paulo", "Africa/Casablanca"]))
+@given(st.datetimes(datetime(1850, 1, 1), datetime(9990, 1, 1)) | st.datetimes(datetime(2014, 1, 1), datetime(2027, 1, 1)), st.sampled_from(["America/New_York", "Australia/Lord_Howe", "Asia/Kathmandu", "America/St_Johns", "Europe/London", "America/Sao_Paulo", "Africa/Casablanca", "Europe/Dublin", "America/Asuncion", "Asia/Samarkand"]))
 def test_local_times_against_zoneinfo(local, name):
     z = ZoneInfo(name)
     found = {us(local.replace(tzinfo=z, fold=f).astimezone(timezone.utc)) for f in (0, 1) if local.replace(tzinfo=z, fold=f).astimezone(timezone.utc).astimezone(z).replace(tzinfo=None) == local}
-    utc, hits = zones.to_utc_us(np.array([us(local.replace(tzinfo=timezone.utc))]), zones.zone_tables()[name])
+    utc, hits = zones.to_utc_us(np.array([us(local.replace(tzinfo=timezone.utc))]), zones.transitions(zones.files()[name]))
     assert hits[0] == len(found)
     if len(found) == 1:
         assert utc[0] in found
+
+
+def test_years_far_off(spark):
+    cases = [("2045-07-01 12:00:00", "Europe/Berlin", datetime(2045, 7, 1, 10)), ("1965-07-01 12:00:00", "America/New_York", datetime(1965, 7, 1, 16)), ("1945-07-01 12:00:00", "Europe/Berlin", datetime(1945, 7, 1, 9)), ("9000-07-01 12:00:00", "Europe/Berlin", datetime(9000, 7, 1, 10))]
+    assert run(spark, [(t, None, z, "dmy", None) for t, z, _ in cases]) == [us(w.replace(tzinfo=timezone.utc)) for _, _, w in cases]
+
+
+def test_digits_of_other_scripts_and_words_between(spark):
+    rows = ["٢٠٢٤-05-06T07:08:09Z", "2024-05-06T07:08:09+05", "2024-05-06 07:08:09 XYZ", "9999999999999999999", "2024-05-06T07:08:09[Etc/GMT+5]", "2024-05-06T07:08:09+16:00", "2024-05-06T07:08:09.5Z"]
+    base = us(datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc))
+    assert run(spark, [(t, None, "UTC", "dmy", None) for t in rows]) == [None, base - 5 * 3600 * 10**6, None, None, base + 5 * 3600 * 10**6, None, base + 500_000]
