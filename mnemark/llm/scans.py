@@ -1,6 +1,7 @@
 """Noise in text from scanned pages: furniture lines, words broken over lines, misread words.
 
-A line-pair classifier tells running headers and page numbers from body lines and joins broken words. Misread words get candidates
+A line-pair classifier, fitted to pages made of the texts' own words, tells running headers from body lines; page numbers are told by their
+form, broken words by the lines' ends. Misread words get candidates
 through an inverted join on the q-grams of look-alike forms; boosted trees, trained on corruptions of the corpus's own frequent words,
 choose the replacement or none.
 """
@@ -9,25 +10,25 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemark.session import broadcast_if_small, cut
 
 #: A word that others may be misread forms of stands in at least so many documents, however many there are.
 GOOD_DOCS = 3
-#: A misread form is at least so many times rarer than its word.
+#: Candidates for a form are at least so many times as frequent.
 RARER = 5
-#: And so many times where no known confusion makes it of the word.
-FAR_RARER = 500
 #: Least share of the q-grams of the longer look-alike form that both forms have.
 SHARED_GRAMS = 0.5
 #: Frequent words whose corruptions train the ranking, and corruptions of each.
@@ -57,52 +58,141 @@ def _bare(line: str) -> str:
     return s.translate(LOOKALIKE).casefold()
 
 
-def furniture(lines: list[str], breaks: set[int], title: str) -> list[str | None]:
-    """For each line `header`, `page_number` or None. A line is scored against its neighbours: what it looks like alone, whether the
-    text runs on around it, and whether it comes again or is the title."""
-    kinds: list[str | None] = [None] * len(lines)
-    stripped = [x.strip() for x in lines]
+#: What a line's pairs with its neighbours show, in the order of line_pairs.
+PAIR_FEATURES = ["titled", "decorated", "indented", "again", "short_open", "breaks_before", "runs_on", "after_lower", "closed", "lower", "long", "hyphen"]
+
+
+def page_numbers(stripped: list[str]) -> list[int]:
+    """Lines with only a page number, unless they are those of a numbered list: counted from one, one whole sentence under each."""
     numbers = [i for i, s in enumerate(stripped) if s and NUMBER.fullmatch(s) and (any(c.isdigit() for c in s) or not s[0].isalpha() or LETTERS_ONLY.fullmatch(s))]
     plain = [i for i in numbers if PLAIN.fullmatch(stripped[i])]
     if plain and plain == numbers and int(re.sub(r"\D", "", stripped[plain[0]])) == 1:
-        # A numbered list: counted from one, with one whole sentence under each number.
-        ends = [*plain[1:], len(lines)]
+        ends = [*plain[1:], len(stripped)]
         items = [[s for s in stripped[a + 1 : b] if s] for a, b in zip(plain, ends)]
         if all(len(x) == 1 and x[0][-1:] in ".!?…\"'" for x in items[:-1]) and items[-1] and items[-1][0][-1:] in ".!?…\"'":
-            numbers = []
-    for i in numbers:
-        kinds[i] = "page_number"
-    sizes = sorted(len(s) for i, s in enumerate(stripped) if s and not kinds[i])
+            return []
+    return numbers
+
+
+def line_pairs(lines: list[str], breaks: set[int], title: str) -> tuple[list[int], list[int], np.ndarray]:
+    """Lines with page numbers, lines that may be running headers, and of each of the latter PAIR_FEATURES: what it looks like beside the
+    lines before and after it, and whether it comes again or is the title."""
+    stripped = [x.strip() for x in lines]
+    numbers = page_numbers(stripped)
+    other = set(numbers)
+    body = [i for i, s in enumerate(stripped) if s and i not in other]
+    sizes = sorted(len(stripped[i]) for i in body)
     width = sizes[int(len(sizes) * 0.85)] if sizes else 0
     bare = [_bare(x) for x in lines]
     again = {b for b, n in Counter(bare).items() if b and n > 1}
     name = title.translate(LOOKALIKE).casefold()
     name_words = set(name.split())
     # In wrapped text a short line ends a paragraph. Where one runs on in lower case, the lines aren't those of a page.
-    ragged = any(s and s[0].islower() and s[-1] not in ".!?:;,…\"'”)" + HYPHENS and len(s) < 0.72 * width for i, s in enumerate(stripped[:-1]) if not kinds[i])
-    body = [i for i, s in enumerate(stripped) if s and not kinds[i]]
+    ragged = any(s and s[0].islower() and s[-1] not in ".!?:;,…\"'”)" + HYPHENS and len(s) < 0.72 * width for i, s in enumerate(stripped[:-1]) if i not in other)
+    at, rows = [], []
     for n, i in enumerate(body):
         s = stripped[i]
-        if s[-1] == "." and s[0].islower():
-            continue
         words = TOKEN.findall(s)
-        if not any(len(w) > 1 and not w.isdigit() for w in words):
+        after = stripped[body[n + 1]] if n + 1 < len(body) else ""
+        # The end of a sentence, a word that goes on in the next line, and lines without words are no headers.
+        if (s[-1] == "." and s[0].islower()) or (s[-1] in HYPHENS and after[:1].islower()) or not any(len(w) > 1 and not w.isdigit() for w in words):
             continue
         closed = s[-1] in ".!?:;,…\"'”)"
         titled = bool(name) and (bare[i] == name or (not closed and abs(len(bare[i]) - len(name)) < 8 and len(name_words.intersection(bare[i].split())) > 1 and SequenceMatcher(None, bare[i], name, autojunk=False).ratio() > 0.85))
-        decorated = s[0] in "—–-~*=|" and s[-1] in "—–-~*=|"
         before = stripped[body[n - 1]] if n else ""
-        after = stripped[body[n + 1]] if n + 1 < len(body) else ""
-        runs_on = bool(before) and before[-1] not in ".!?…\"'”"
-        score = 4 * titled + 3 * decorated + 1.5 * (lines[i][:3].isspace() and len(lines[i]) > 3) + 2 * (bare[i] in again and len(words) <= 9)
-        score += 3 * (not closed and not ragged and len(s) < 0.72 * width) + 1.0 * (i in breaks or not stripped[i - 1] if i else True) + 1.0 * runs_on + 0.5 * after[:1].islower()
-        score -= 4 * closed + 3 * s[0].islower() + 2 * (len(words) > 9) + 2 * (s[-1] in HYPHENS)
-        if score >= 3:
+        at.append(i)
+        rows.append((titled, s[0] in "—–-~*=|" and s[-1] in "—–-~*=|", lines[i][:3].isspace() and len(lines[i]) > 3, bare[i] in again and len(words) <= 9, not closed and not ragged and len(s) < 0.72 * width, i in breaks or not i or not stripped[i - 1], bool(before) and before[-1] not in ".!?…\"'”", after[:1].islower(), closed, s[0].islower(), len(words) > 9, s[-1] in HYPHENS))
+    return numbers, at, np.array(rows, dtype=np.float64).reshape(len(at), len(PAIR_FEATURES))
+
+
+def furniture(lines: list[str], breaks: set[int], title: str, weights: np.ndarray) -> list[str | None]:
+    """For each line `header`, `page_number` or None, by the fitted weights of PAIR_FEATURES and the last one, which stands alone."""
+    kinds: list[str | None] = [None] * len(lines)
+    numbers, at, x = line_pairs(lines, breaks, title)
+    for i in numbers:
+        kinds[i] = "page_number"
+    for i, score in zip(at, x @ weights[:-1] + weights[-1]):
+        if score > 0:
             kinds[i] = "header"
     return kinds
 
 
-def layout(text: str) -> tuple[str, list[str], set[int], list[str | None]]:
+#: Scanned texts whose words make the pages from which the line-pair classifier learns, and pages made of each.
+TRAIN_TEXTS, TRAIN_PAGES = 300, 2
+#: Least characters of such a page: short texts are filled up with the next ones.
+PAGE_CHARS = 1500
+MARKS = ["— {} —", "- {} -", "* {} *", "= {} =", "| {} |", "~ {} ~"]
+
+
+def hyphenated(lines: list[str], how: random.Random) -> list[str]:
+    """Lines of a paragraph, of which one in four ends in a part of the next one's first word."""
+    out = list(lines)
+    for n in range(len(out) - 1):
+        word, _, rest = out[n + 1].partition(" ")
+        if len(word) > 4 and word.isalpha() and how.random() < 0.25:
+            k = how.randint(2, len(word) - 2)
+            out[n], out[n + 1] = f"{out[n]} {word[:k]}-", f"{word[k:]} {rest}".strip()
+    return out
+
+
+def made_page(text: str, how: random.Random) -> tuple[list[str], set[int], str, list[int]]:
+    """A page made of a text's words, set in lines of one width, with running headers planted between them: its lines, those that begin
+    a page, its title, and the lines that are headers."""
+    first, _, rest = text.partition("\n")
+    words = rest.split()
+    m = TITLE.search(first)
+    title = m[1] if m else " ".join(w.capitalize() for w in how.sample(words, min(len(words), 3)))
+    width, lines, breaks, headers = how.randint(38, 88), [], set(), []
+    sentences = [x for x in re.split(r"(?<=[.!?])\s+", " ".join(words)) if x]
+    while sentences:
+        now, sentences = sentences[: (k := how.randint(2, 6))], sentences[k:]
+        paragraph = hyphenated(textwrap.wrap(" ".join(now), width, break_long_words=False, break_on_hyphens=False), how)
+        if paragraph and how.random() < 0.7:
+            # A page ends within the paragraph.
+            k = how.randrange(len(paragraph))
+            kind = how.random()
+            name = title if kind < 0.5 else " ".join(w.strip(".,!?").capitalize() for w in how.sample(words, min(len(words), how.randint(2, 4))))
+            name = corrupt(name, how) if how.random() < 0.3 else name
+            name = how.choice([name, name, name.upper(), how.choice(MARKS).format(name), " " * how.randint(4, 20) + name])
+            lines += paragraph[:k] + [""] * how.choice((0, 1))
+            if how.random() < 0.4:
+                breaks.add(len(lines))
+            headers.append(len(lines))
+            lines += [name] + [str(how.randint(2, 90))] * (how.random() < 0.4) + [""] * how.choice((0, 1)) + paragraph[k:]
+        else:
+            lines += paragraph
+        lines += [""] * how.choice((0, 1, 1))
+    return lines, breaks, title if m else "", headers
+
+
+def line_weights(df: DataFrame, text: str, seed: int = 3) -> np.ndarray:
+    """Weights of PAIR_FEATURES by logistic regression over the lines of pages made of TRAIN_TEXTS texts (those of the smallest hashes);
+    without any text no line is a header."""
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, whole = [], b["text"].tolist()
+            rests = [t.partition("\n")[2] for t in whole]
+            for n, t in enumerate(whole):
+                how, k = random.Random(f"{seed}{n}"), n
+                while len(t) < PAGE_CHARS:
+                    k += 1
+                    t += "\n" + rests[k % len(rests)]
+                for _ in range(TRAIN_PAGES):
+                    lines, breaks, title, headers = made_page(t, how)
+                    _, at, x = line_pairs(lines, breaks, title)
+                    out += [(float(i in headers), row.tolist()) for i, row in zip(at, x)]
+            yield pd.DataFrame(out, columns=["label", "x"])
+
+    texts = df.select(F.col(text).alias("text")).filter(F.col("text").rlike(r"\n.*\S\s+\S")).distinct().orderBy(F.xxhash64("text"), "text").limit(TRAIN_TEXTS)
+    made = cut(texts.mapInPandas(pages, "label double, x array<double>").select("label", array_to_vector("x").alias("features")))
+    if made.select("label").distinct().count() < 2:
+        return np.append(np.zeros(len(PAIR_FEATURES)), -1.0)
+    fitted = LogisticRegression(maxIter=50, regParam=1e-3).fit(made)
+    return np.append(fitted.coefficients.toArray(), fitted.intercept)
+
+
+def layout(text: str, weights: np.ndarray) -> tuple[str, list[str], set[int], list[str | None]]:
     """First line, the other lines, those of them that begin a page, and the kind of each (see furniture)."""
     first, _, rest = text.partition("\n")
     lines, breaks = [], set()
@@ -111,7 +201,7 @@ def layout(text: str) -> tuple[str, list[str], set[int], list[str | None]]:
             breaks.add(len(lines))
         lines += page.split("\n")
     m = TITLE.search(first)
-    return first, lines, breaks, furniture(lines, breaks, m[1] if m else "")
+    return first, lines, breaks, furniture(lines, breaks, m[1] if m else "", weights)
 
 
 def walk(body: list[str]) -> Iterator[tuple[int, list[tuple[int, int, str]], re.Match | None, re.Match | None, bool]]:
@@ -135,9 +225,9 @@ def walk(body: list[str]) -> Iterator[tuple[int, list[tuple[int, int, str]], re.
         skip = b.end() if broken else 0
 
 
-def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[str], list[str]]:
+def parse(text: str, weights: np.ndarray) -> tuple[list[str], list[str], list[tuple[str, str]], list[str], list[str]]:
     """Headers, page numbers, broken words as (before, after), distinct words of the running text, and its body lines."""
-    _, lines, _, kinds = layout(text)
+    _, lines, _, kinds = layout(text, weights)
     headers = [x.strip() for x, k in zip(lines, kinds) if k == "header"]
     pages = [x.strip() for x, k in zip(lines, kinds) if k == "page_number"]
     body = [x.strip() for x, k in zip(lines, kinds) if not k and x.strip()]
@@ -149,7 +239,7 @@ def parse(text: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[
     return sorted(set(headers)), sorted(set(pages)), broken, sorted(words), body
 
 
-def repair(text: str, fixes: dict[str, str]) -> str:
+def repair(text: str, fixes: dict[str, str], weights: np.ndarray) -> str:
     """The text without furniture, its broken words joined, its misread words replaced and the lines of each paragraph on one line,
     with an empty line between paragraphs; the first line stays as it is.
 
@@ -157,7 +247,7 @@ def repair(text: str, fixes: dict[str, str]) -> str:
     word that is misread its word. A paragraph ends with a sentence, where an empty line follows, or a line that is short; over a page
     break, which leaves empty lines of its own, where the next word would have fitted into the line.
     """
-    first, lines, breaks, kinds = layout(text)
+    first, lines, breaks, kinds = layout(text, weights)
     at = [i for i, (x, k) in enumerate(zip(lines, kinds)) if not k and x.strip()]
     body = [lines[i].strip() for i in at]
     sizes = sorted(map(len, body))
@@ -202,12 +292,12 @@ def repair(text: str, fixes: dict[str, str]) -> str:
     return "\n\n".join([first, *paragraphs, *([now] if body else [])])
 
 
-def parsed(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def parsed(df: DataFrame, id_col: str, text: str, weights: np.ndarray) -> DataFrame:
     """(id, headers, pages, broken, words) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [parse(t)[:4] for t in b.column(1).to_pylist()]
+            rows = [parse(t, weights)[:4] for t in b.column(1).to_pylist()]
             broken = pa.array([[{"a": x, "b": y} for x, y in r[2]] for r in rows], pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())])))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)), broken, pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["id", "headers", "pages", "broken", "words"])
 
@@ -238,7 +328,7 @@ def candidates(forms: DataFrame, good: DataFrame) -> DataFrame:
 
 def with_features(pairs: DataFrame) -> DataFrame:
     p = pairs.withColumn("edits", F.levenshtein("w", "c").cast("double")).withColumn("folded_edits", F.levenshtein(lookalike(F.col("w")), lookalike(F.col("c"))).cast("double"))
-    p = p.withColumn("longer", (F.length("c") - F.length("w")).cast("double")).withColumn("rarer", F.least(F.log(F.col("m") / F.col("n")), F.lit(6.0)))
+    p = p.withColumn("longer", (F.length("c") - F.length("w")).cast("double")).withColumn("rarer", F.least(F.log(F.col("m") / F.col("n")), F.lit(9.0)))
     p = p.withColumn("same_first", (F.substring("w", 1, 1) == F.substring("c", 1, 1)).cast("double")).withColumn("size", F.least(F.length("c"), F.lit(12)).cast("double"))
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(p)
 
@@ -253,9 +343,16 @@ def corrupt(word: str, how: random.Random) -> str:
     return word
 
 
+def altered(word: str, how: random.Random) -> str:
+    """A word with one letter put in, left out or put in the place of another: another word, as far as scanners know."""
+    i, c = how.randrange(len(word)), how.choice("abcdefghijklmnopqrstuvwxyz")
+    return word[:i] + how.choice((c, c + word[i], "", c, word[i] + "s")) + word[i + 1 :]
+
+
 def ranking(good: DataFrame, seed: int):  # noqa: ANN201
-    """Boosted trees over pairs of a form and a candidate. They learn from the TRAIN_WORDS most frequent words, each corrupted in
-    TRAIN_FORMS ways and given a count as much rarer, against the other candidates of the same forms, and from whole words."""
+    """Boosted trees over pairs of a form and a candidate. They learn from the TRAIN_WORDS most frequent words: each corrupted in
+    TRAIN_FORMS ways and given a count as much rarer, against the other candidates of the same forms; as they are, against each other;
+    and altered in ways that no scanner has, which are rare words of their own."""
     known = good.orderBy(F.desc("m"), "c").limit(TRAIN_WORDS)
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,9 +362,11 @@ def ranking(good: DataFrame, seed: int):  # noqa: ANN201
                 how = random.Random(f"{seed}{c}")
                 for _ in range(TRAIN_FORMS):
                     if (w := corrupt(c, how)) != c:
-                        out.append((w, max(1, int(m / how.choice((10, 30, 100, 300)))), c))
+                        out.append((w, max(1, int(m / how.choice((10, 30, 100, 300, 1000)))), c))
+                    if (w := altered(c, how)) != c:
+                        out.append((w, max(1, int(m / how.choice((10, 100, 1000)))), ""))
                 out.append((c, m, ""))
-                out.append((c, max(1, int(m / how.choice((6, 10)))), ""))
+                out.append((c, max(1, int(m / how.choice((6, 10, 100, 1000)))), ""))
             yield pd.DataFrame(out, columns=["w", "n", "truth"])
 
     made = cut(known.mapInPandas(forms, "w string, n long, truth string"))
@@ -289,9 +388,8 @@ def replacements(counts: DataFrame, seed: int = 11, more: DataFrame | None = Non
     pairs = with_features(candidates(forms.filter((F.col("n") * RARER <= top) & F.col("w").rlike(r"\p{L}")), good))
     # Where no two frequent words are alike there is nothing to rank: a form has its one look-alike.
     p = pairs.withColumn("p", (F.col("folded_edits") == 0).cast("double")) if model is None else model.transform(pairs).withColumn("p", vector_to_array("probability")[1])
-    # Whatever the trees say, forms that no known confusion explains must be rarer by far: rare words aren't misread ones.
-    scored = p.filter((F.col("p") >= SURE) & ((F.col("folded_edits") == 0) | (F.col("m") >= FAR_RARER * F.col("n"))))
-    best = scored.groupBy("w").agg(F.max_by("c", F.struct("p", -F.col("folded_edits"), "m", "c")).alias("c"))
+    scored = p.filter(F.col("p") >= SURE)
+    best = scored.groupBy("w").agg(F.max_by("c", F.struct(F.round("p", 1), -F.col("edits"), "p", "m", "c")).alias("c"))
     # A replacement that is itself a misread form stands for its own word.
     return best.alias("x").join(best.select(F.col("w").alias("c"), F.col("c").alias("further")), "c", "left").select("w", F.coalesce("further", "c").alias("c"))
 
@@ -325,7 +423,8 @@ def noise(df: DataFrame, id_col: str, text: str) -> DataFrame:
     Null texts have none; the first line isn't looked at; repeated rows of one id count as one document's. A broken word keeps its
     hyphen where the corpus has it with the hyphen more often than without.
     """
-    pages = cut(parsed(df, id_col, text))
+    weights = line_weights(df, text)
+    pages = cut(parsed(df, id_col, text, weights))
     lines = lambda field, kind: pages.select("id", F.lit(kind).alias("noise_type"), F.explode(field).alias("noise_text"))
     words = pages.select("id", F.explode("words").alias("word"))
     counts = counted(pages)
@@ -339,7 +438,8 @@ def noise(df: DataFrame, id_col: str, text: str) -> DataFrame:
 def repaired(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, repaired): each scanned text with what noise() finds taken out or set right in its place, and its paragraphs continuous
     (see repair). Broken words that are misread as well are set right too. A null text stays null; every row gives one row."""
-    pages = cut(parsed(df, id_col, text))
+    weights = line_weights(df, text)
+    pages = cut(parsed(df, id_col, text, weights))
     counts = counted(pages)
     broken = cut(wholes(pages, counts).distinct())
     unseen = broken.groupBy(F.lower("whole").alias("w")).agg(F.countDistinct("id").alias("n")).join(counts, "w", "left_anti")
@@ -356,7 +456,7 @@ def repaired(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [None if t is None else repair(t, dict(f or ())) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            done = [None if t is None else repair(t, dict(f or ()), weights) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["id", "repaired"])
 
     return texts.mapInArrow(run, "id long, repaired string")
