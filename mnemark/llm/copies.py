@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 import zlib
@@ -24,10 +25,27 @@ def letters(text: str) -> str:
     return NOT_LETTERS.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold())
 
 
+def json_fields(text: str) -> list[str]:
+    """Names and values of a text that is one JSON object of two fields or more; fields named twice count twice."""
+    body = text.strip()
+    if not (body.startswith("{") and body.endswith("}")):
+        return []
+    try:
+        pairs = json.loads(body, object_pairs_hook=list)
+    except (ValueError, RecursionError):
+        return []
+    if not isinstance(pairs, list) or len(pairs) < 2:
+        return []
+    return [f"{letters(k)}\x1e{letters(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))}" for k, v in pairs]
+
+
 def canonical(text: str) -> str:
-    """Equal for texts that differ only in form. A record (three or more `name: value` parts and nothing else, divided by ; | or line
-    ends, or as JSON) becomes its sorted fields; any other text its letters and digits in sequence."""
+    """Equal for texts that differ only in form. A record becomes its sorted fields: a JSON object of two fields or more, whatever their
+    values, or three or more `name: value` parts and nothing else, divided by ; | or line ends. Any other text becomes its letters and
+    digits in sequence."""
     if ":" in text or "=" in text:
+        if fields := json_fields(text):
+            return "\x1f".join(sorted(fields))
         body = text.strip().strip("{}")
         fields = []
         for part in BREAKS.split(body):

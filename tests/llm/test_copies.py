@@ -33,3 +33,11 @@ def test_hot_group_is_whole(spark, monkeypatch):
 
 def test_empty(spark):
     assert copies.copy_pairs(frame(spark, []), "id", "text").count() == 0
+
+
+def test_json_records_of_any_values():
+    same = ['{"id": 1, "b": "y"}', '{ "B": "Y", "ID": 1 }', '{"b":"y",\n"id":1}']
+    assert len({copies.canonical(t) for t in same}) == 1 and copies.canonical('{"id": 1, "b": "z"}') != copies.canonical(same[0])
+    assert copies.canonical('{"id": null, "a": [1, "x"], "c": true}') == copies.canonical('{"c": true, "a": [1,"X"], "id": null}')
+    assert copies.canonical('{"a": "1", "b": "2", "c": "3"}') == copies.canonical("c: 3; a: 1; b: 2")
+    assert copies.canonical('{"a": 1') == copies.canonical("a 1") and copies.canonical("{}") == copies.canonical("") and copies.json_fields("[" * 100_000) == []
