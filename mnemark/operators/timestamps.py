@@ -46,6 +46,7 @@ TEXTS = [re.compile(re.sub(r"(?<!\\W)\\d", "[0-9]", t)) for _, _, t in FAMILIES]
 MASKS = [re.compile(m) for _, m, _ in FAMILIES]
 LETTERS = re.compile(r"[^\W\d_]+")
 US = 1_000_000
+TENS = 10 ** np.arange(18, -1, -1, dtype=np.int64)
 COUNT_FROM, COUNT_TO = (int(np.datetime64(d, "us").astype(np.int64)) for d in ("2015-01-01", "2027-01-01"))
 
 
@@ -66,27 +67,26 @@ class Parser:
         self.zone, self.zone_at = (m["z"], m.span("z")) if has("z") else ("", None)
         self.area_at = m.span("i") if has("i") else None
 
-    def numbers(self, chars: np.ndarray, *fields: str, first: int | None = None, default: int = 0) -> np.ndarray:
+    def numbers(self, digits: np.ndarray, *fields: str, first: int | None = None, default: int = 0) -> np.ndarray:
         """The digits of a field as numbers; of a fraction, `first` digits, padded with zeros."""
         span = next((self.at[f] for f in fields if f in self.at), None)
         if span is None:
-            return np.full(len(chars), default, dtype=np.int64)
+            return np.full(len(digits), default, dtype=np.int64)
         a, b = span
         b = b if first is None else min(b, a + first)
-        v = np.zeros(len(chars), dtype=np.uint64)
-        for k in range(a, b):
-            v = v * np.uint64(10) + (chars[:, k] - np.uint32(48)).astype(np.uint64)
-        return np.minimum(v, np.uint64(2**62)).astype(np.int64) * (1 if first is None else 10 ** (first - (b - a)))
+        v = digits[:, a:b] @ TENS[len(TENS) - (b - a) :]
+        # Nineteen digits may be too large: they turn negative.
+        return np.where((v < 0) | (v > 2**62), 2**62, v) if first is None else v * 10 ** (first - (b - a))
 
-    def offsets(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset of the written zone in microseconds, and whether there is such a zone."""
-        n = len(chars)
+        n = len(digits)
         if self.zone[0] not in "+-":
             hours = zones.ABBREVIATIONS.get(self.zone.upper())
             return np.full(n, int((hours or 0) * 3600 * US), dtype=np.int64), np.full(n, hours is not None)
         a, _ = self.zone_at
-        digits = [k + a for k, c in enumerate(self.zone) if c == "9"]
-        d = [(chars[:, k] - np.uint32(48)).astype(np.int64) for k in digits] + [np.zeros(n, dtype=np.int64)] * (4 - len(digits))
+        at = [k + a for k, c in enumerate(self.zone) if c == "9"]
+        d = [digits[:, k] for k in at] + [np.zeros(n, dtype=np.int64)] * (4 - len(at))
         h, m = d[0] * 10 + d[1], d[2] * 10 + d[3]
         return (1 if self.zone[0] == "+" else -1) * (h * 60 + m) * 60 * US, (h <= 15) & (m < 60)
 
@@ -123,10 +123,10 @@ def convert(texts: np.ndarray, masks: np.ndarray, tz: np.ndarray, home: np.ndarr
         if p is None:
             continue
         at = by_mask[ends[k] : ends[k + 1]]
-        chars = np.array(texts[at], dtype=f"U{p.width}").view(np.uint32).reshape(len(at), p.width)
-        micros = p.numbers(chars, "f", first=6) if "f" in p.at else np.zeros(len(at), dtype=np.int64)
+        digits = np.array(texts[at], dtype=f"U{p.width}").view(np.uint32).reshape(len(at), p.width).astype(np.int64) - 48
+        micros = p.numbers(digits, "f", first=6) if "f" in p.at else np.zeros(len(at), dtype=np.int64)
         if p.kind == "number":
-            v, got, sure = p.numbers(chars, "y"), np.full(len(at), none, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+            v, got, sure = p.numbers(digits, "y"), np.full(len(at), none, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
             base = counts_from[at]
             for mul, div in ((US, 1), (1000, 1), (1, 1), (1, 1000)):
                 fits = v < (2**62) // mul
@@ -135,10 +135,10 @@ def convert(texts: np.ndarray, masks: np.ndarray, tz: np.ndarray, home: np.ndarr
                 got, sure = np.where(hit, us, got), sure + hit
             out[at] = np.where(sure == 1, got, none)
             continue
-        y, d = p.numbers(chars, "y"), p.numbers(chars, "d")
+        y, d = p.numbers(digits, "y"), p.numbers(digits, "d")
         if p.at["y"][1] - p.at["y"][0] == 2:
             y = y + 2000
-        m = np.full(len(at), p.month, dtype=np.int64) if p.kind == "named" else p.numbers(chars, "m", default=1)
+        m = np.full(len(at), p.month, dtype=np.int64) if p.kind == "named" else p.numbers(digits, "m", default=1)
         if p.kind == "slash":
             first_month = order[at] == "mdy"
             d, m = np.where(first_month, m, d), np.where(first_month, d, m)
@@ -153,12 +153,12 @@ def convert(texts: np.ndarray, masks: np.ndarray, tz: np.ndarray, home: np.ndarr
             ok = (y >= 1) & (m >= 1) & (d >= 1) & (d <= 7) & (days < monday(y + 1))
         else:
             days, ok = _days(y, m, d)
-        hour, minute, second = p.numbers(chars, "H", "h"), p.numbers(chars, "M", "n"), p.numbers(chars, "S")
+        hour, minute, second = p.numbers(digits, "H", "h"), p.numbers(digits, "M", "n"), p.numbers(digits, "S")
         ok &= ((hour >= 1) & (hour <= 12) if p.half else hour <= 23) & (minute <= 59) & (second <= 59)
         hour = hour % 12 + 12 * (p.half == "p") if p.half else hour
         us = ((days * 24 + hour) * 60 + minute) * 60 * US + second * US + micros
         if p.zone:
-            off, known = p.offsets(chars)
+            off, known = p.offsets(digits)
             out[at] = np.where(ok & known, us - off, none)
             continue
         if p.area_at:
