@@ -151,3 +151,12 @@ def test_dates_and_labels(spark):
     assert us(S.office_date, "2020-01-01T00:00:00Z", "2020-01-01T00:00:00-01:00", "2020-01-01T00:00:00", "1980-01-01T00:00:00Z", "junk") == [1577836800000000, 1577840400000000, 1577836800000000, None, None]
     assert us(S.full_place, "Austin, TX", "Paris, FR", None) == ["Austin, Texas", "Paris, FR", None]
     assert us(S.redacted_url, "https://u:p@h.example/a/0123456789abcdef01?token=s&x=1#f") == ["https://h.example/a/…?token=…&x=…#f"]
+
+
+def test_similarity_of_vectors_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [0.0, 0.0]), (6, [1.0])], "artifact_id long, embedding array<float>")
+    links = spark.createDataFrame([(i, 10 + i, "self") for i in range(1, 7)], "artifact_id long, entity_id long, role string")
+    pairs = spark.createDataFrame([(11, 10 + i) for i in range(2, 8)], "entity_id_a long, entity_id_b long")
+    got = {r.entity_id_b: r.similarity for r in graph.with_text_similarity(pairs, links, vectors).collect()}
+    assert got == {12: 100, 13: None, 14: None, 15: None, 16: None, 17: None}
