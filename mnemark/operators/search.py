@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from mnemark import model
 from mnemark.functions import scalars as S, states
 from mnemark.operators import graph, spatial
-from mnemark.session import broadcast_if_small, cut
+from mnemark.session import broadcast_if_small, cut, read_shared, shared_file, spread_keys
 
 
 def candidates(artifacts: DataFrame, types: list[str] | None = None, all_types: bool = False, start: str | None = None, end: str | None = None, place: list[str] | None = None, with_place: bool = False, linked_to: DataFrame | None = None) -> DataFrame:
@@ -152,24 +152,120 @@ def bm25(index: tuple[DataFrame, DataFrame], query: str, k: int, cands: DataFram
     return hits.groupBy("artifact_id").agg(F.round(F.sum(score), 6).alias("score")).orderBy(F.desc("score"), "artifact_id").limit(k)
 
 
-def bm25_set(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, cands: DataFrame | None = None, salt: int = 16) -> DataFrame:
+class Postings:
+    """The weighted postings of a slice of artifacts, by term, for whole query sets."""
+
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Rows of one artifact and term are added up."""
+        self.ids, doc = np.unique(ids, return_inverse=True)
+        order = np.lexsort((doc, terms))
+        doc, terms, weights = doc[order], terms[order], weights[order]
+        first = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        self.doc, terms, self.weight = doc[first], terms[first], np.add.reduceat(weights, first) if len(first) else weights
+        self.terms, self.start = np.unique(terms, return_index=True)
+        self.end = np.append(self.start[1:], len(terms))
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(terms) else self.weight
+        self.sums = np.zeros(len(self.ids))
+
+    def best(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best for a query's distinct terms, exactly, ties by id.
+
+        Terms are added in the order of the most that they can give. Once what is left can't lift an artifact over the k-th best so
+        far, only those that may still reach it are followed through the other terms.
+        """
+        at = np.searchsorted(self.terms, terms)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == terms[known]
+        at, times = at[known], times[known]
+        if not len(at):
+            return self.ids[:0], self.sums[:0]
+        order = np.argsort(-times * self.most[at], kind="stable")
+        at, times = at[order], times[order]
+        left = np.append(np.cumsum((times * self.most[at])[::-1])[::-1][1:], 0.0)
+        most = left[0] + times[0] * self.most[at[0]]
+        sums, least, n = self.sums, 0.0, 0
+        sums[:] = 0
+        for n, (a, by, rest) in enumerate(zip(at.tolist(), times.tolist(), left.tolist()), 1):
+            s, e = self.start[a], self.end[a]
+            docs = self.doc[s:e]
+            np.add.at(sums, docs, self.weight[s:e] * by)
+            if 2 * rest < most and k <= e - s <= CHECKED:  # before, no sum can be more than what is left
+                least = max(least, np.partition(sums[docs], e - s - k)[e - s - k])
+            if rest < least - MARGIN:
+                break
+        rest = left[n - 1]
+        docs = np.flatnonzero(sums > max(0.0, least - rest - MARGIN))
+        score = np.zeros(len(docs))
+        for a, by in zip(at[n:].tolist(), times[n:].tolist()):
+            s, e = self.start[a], self.end[a]
+            own = self.doc[s:e]
+            if 30 * len(docs) > e - s:  # a search costs some thirty additions
+                np.add.at(sums, own, self.weight[s:e] * by)
+                continue
+            i = np.minimum(np.searchsorted(own, docs), len(own) - 1)
+            score += np.where(own[i] == docs, self.weight[s + i] * by, 0.0)
+        score += sums[docs]
+        if len(docs) > k:
+            near = score >= np.partition(score, len(docs) - k)[len(docs) - k] - MARGIN
+            docs, score = docs[near], score[near]
+        score = np.round(score, 6)
+        top = np.lexsort((docs, -score))[:k]
+        return self.ids[docs[top]], score[top]
+
+
+#: Postings in a slice, and least number of slices.
+SLICE_POSTINGS, LEAST_SLICES = 1_500_000, 12
+#: Queries in a file of a query set.
+FILE_QUERIES = 20_000
+#: Longest postings from which Postings.best takes a bound, and more than rounding to six places may shift a score by.
+CHECKED, MARGIN = 8192, 2e-6
+
+
+def bm25_set(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, cands: DataFrame | None = None, salt: int = 16, slice_postings: int = SLICE_POSTINGS) -> DataFrame:
     """(query_id, artifact_id, score, rank): best k by BM25 of every query (query_id, text), ties by id; see bm25.
 
-    Query terms are counted and sent to all tasks up to BROADCAST_TERMS; beyond that the postings of a term are spread over `salt`
-    tasks, so a word that a third of all texts have isn't one task's.
+    The index's artifacts stand in slices of about slice_postings postings, each in a task of its own that walks the queries file by file
+    and returns k rows a query; pairs of queries and artifacts aren't made. Query terms are counted and sent to all tasks up to
+    BROADCAST_TERMS; beyond that the postings of a term are spread over `salt` tasks, so a word that a third of all texts have isn't
+    one task's.
     """
     p, docs = index
     asked = cut(queries.select("query_id", F.explode(S.search_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    df = p.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    asked = asked.join(df, "term")
+    said = asked.select("term").distinct()
+    rows, key = said.count(), ["term"]
+    terms = cut(p.join(broadcast_if_small(said, rows, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()))
+    numbered = asked.join(broadcast_if_small(terms, rows, BROADCAST_TERMS), "term").select("query_id", "t", F.col("times").cast("double").alias("times"))
+    files = max(1, -(-queries.count() // FILE_QUERIES))
+    folder = shared_file(numbered.repartition(files, "query_id"), "asked", "query_id")
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    p = p if cands is None else p.join(cands.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi")
-    rows, key = asked.count(), ["term"]
+    slices = max(LEAST_SLICES, -(-(terms.agg(F.sum("df")).first()[0] or 0) // slice_postings))
     if rows > BROADCAST_TERMS:
         p = p.withColumn("salt", F.pmod(F.xxhash64("artifact_id"), F.lit(salt)).cast("int"))
-        asked, key = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["term", "salt"]
-    score = F.col("times") * _weight(F.lit(float(stats["n"])), F.col("df"), F.col("tf"), F.col("dl"), F.lit(float(stats["avgdl"] or 1.0)))
-    found = p.join(broadcast_if_small(asked, rows, BROADCAST_TERMS), key).groupBy("query_id", "artifact_id").agg(F.round(F.sum(score), 6).alias("score"))
+        terms, key = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["term", "salt"]
+    weight = _weight(F.lit(float(stats["n"])), F.col("df"), F.col("tf"), F.col("dl"), F.lit(float(stats["avgdl"] or 1.0)))
+    hits = p.join(broadcast_if_small(terms, rows, BROADCAST_TERMS), key).select("artifact_id", "t", weight.alias("w"))
+    if cands is not None:  # told by a row without a term, so that no join has all postings
+        hits = hits.unionByName(cands.select(F.col("id").alias("artifact_id"), F.lit(-1).cast("long").alias("t"), F.lit(0.0).alias("w")))
+    filtered = cands is not None
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids, t, w = g["artifact_id"].to_numpy(), g["t"].to_numpy(), g["w"].to_numpy()
+        own = t >= 0
+        if filtered:
+            own &= np.isin(ids, ids[~own])
+        found = Postings(ids[own], t[own], w[own])
+        out: list[tuple] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        for part in read_shared(folder):
+            q, qt, times = (part.column(c).to_numpy() for c in ("query_id", "t", "times"))
+            cuts = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+            for s, e in zip(cuts, [*cuts[1:], len(q)]):
+                i, score = found.best(qt[s:e], times[s:e], k)
+                out.append((np.full(len(i), q[s]), i, score))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pd.DataFrame({"query_id": cols[0], "artifact_id": cols[1], "score": cols[2]})
+
+    sliced = hits.filter("artifact_id IS NOT NULL").withColumn("s", F.element_at(F.lit(spread_keys(docs.sparkSession, slices)), F.pmod(F.xxhash64("artifact_id"), F.lit(slices)).cast("int") + 1))
+    found = sliced.repartition(slices, "s").groupBy("s").applyInPandas(run, "query_id long, artifact_id long, score double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "artifact_id"))).filter(F.col("rank") <= k)
 
 

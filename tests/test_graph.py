@@ -160,3 +160,19 @@ def test_similarity_of_vectors_that_are_not_finite(spark):
     pairs = spark.createDataFrame([(11, 10 + i) for i in range(2, 8)], "entity_id_a long, entity_id_b long")
     got = {r.entity_id_b: r.similarity for r in graph.with_text_similarity(pairs, links, vectors).collect()}
     assert got == {12: 100, 13: None, 14: None, 15: None, 16: None, 17: None}
+
+
+def test_query_set_of_texts(spark):
+    """As single searches, whatever the slices, and without rows for pairs of queries and artifacts that share a word."""
+    how = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    text = lambda: " ".join(how.choice(words[: how.choice([4, 20, 80])]) for _ in range(how.randint(1, 25)))
+    art = spark.createDataFrame([(i, "note" if i % 5 else "digest", text()) for i in range(600)] + [(600, "note", None), (601, "note", "...")], "id long, type string, text_repr string").repartition(3).cache()
+    index, cands = search.live_index(art), art.filter("type = 'note'")
+    asked = [(1, "w1 w2 w1 w70"), (2, text()), (3, "w79"), (4, "unheard"), (5, None), (6, "W0 w0 w3 unheard")]
+    found = search.bm25_set(index, spark.createDataFrame(asked, "query_id long, text string"), 5, cands, slice_postings=100)
+    assert "HashAggregate(keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r["rank"]): (r.artifact_id, r.score) for r in found.collect()}
+    want = {(q, n): tuple(r) for q, t in asked if t for n, r in enumerate(search.bm25(index, t, 5, cands).collect(), 1)}
+    assert len(got) == 20 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
