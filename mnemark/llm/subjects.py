@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
@@ -27,6 +28,9 @@ VOCABULARY, LEAST_DOCS, MOST_SHARE = 20_000, 5, 0.25
 LANGUAGE_DOCS, LANGUAGES = 200, 20
 #: Models fitted at a time.
 AT_A_TIME = 4
+#: After the rounds, passes over all documents, each of which sets the topics anew; turns in which a document's topic proportions are
+#: inferred, documents taken together, and terms in a row of sums.
+PASSES, TURNS, TOGETHER, CHUNK = 2, 8, 200, 1000
 TOP_TERMS = 10
 #: Least share of a subject among a topic's top terms for the topic to be about it; topics about nothing are of no subject.
 TOPIC_SURE = 0.35
@@ -71,9 +75,66 @@ def vocabularies(tokens: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def add_expected(sums: np.ndarray, topics: np.ndarray, docs: list[list[int]]) -> None:
+    """Adds to sums (models x terms x topics) how often each topic has said each term, as expected from the topics (same shape) and from
+    each document's own proportions of them. docs: the terms of each document, repeated as they are."""
+    counted = [np.unique(d, return_counts=True) for d in docs if d]
+    if not counted:
+        return
+    term, n = (np.concatenate(x) for x in zip(*counted))
+    sizes = np.array([len(x[0]) for x in counted])
+    rows, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    order = np.argsort(term, kind="stable")
+    at = np.flatnonzero(np.diff(term[order], prepend=-1))
+    for into, model in zip(sums, topics):
+        e = np.maximum(model[term], UNSEEN)
+        share = np.full((len(sizes), e.shape[1]), 1 / e.shape[1])
+        for _ in range(TURNS):
+            r = e * share[rows]
+            r *= (n / r.sum(1))[:, None]
+            share = np.add.reduceat(r, first, axis=0) + PRIOR
+            share /= share.sum(1, keepdims=True)
+        into[term[order[at]]] += np.add.reduceat(r[order], at, axis=0)
+
+
+def expected(tokens: DataFrame, vocabulary: dict[str, list[str]], fitted: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """add_expected() over all documents of each language, added up on the executors; as large as the topics, which come to the driver."""
+    sc = tokens.sparkSession.sparkContext
+    shared = sc.broadcast((vocabulary, fitted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, topics_ = shared.value
+        at = {g: {t: i for i, t in enumerate(v)} for g, v in known.items()}
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            docs: dict[str, list[list[int]]] = {}
+            for g, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if g in at:
+                    docs.setdefault(g, []).append([at[g][w] for w in words if w in at[g]])
+            for g, d in docs.items():
+                own = sums.setdefault(g, np.zeros(topics_[g].shape))
+                for s in range(0, len(d), TOGETHER):
+                    add_expected(own, topics_[g], d[s : s + TOGETHER])
+        for g, own in sums.items():
+            starts = range(0, own.shape[1], CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(starts)), pa.array(starts, pa.int32()), pa.array([own[:, s : s + CHUNK].tobytes() for s in starts], pa.binary())], names=["lang", "start", "sums"])
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": g["lang"][:1], "start": g["start"][:1], "sums": [np.sum([np.frombuffer(x) for x in g["sums"]], axis=0).tobytes()]})
+
+    parts = tokens.select("lang", "words").coalesce(sc.defaultParallelism).mapInArrow(run, "lang string, start int, sums binary")
+    out = {g: np.zeros(m.shape) for g, m in fitted.items()}
+    for r in parts.groupBy("lang", "start").applyInPandas(total, "lang string, start int, sums binary").collect():
+        into = out[r["lang"]][:, r["start"] : r["start"] + CHUNK]
+        into[:] = np.frombuffer(r["sums"]).reshape(into.shape)
+    shared.unpersist()
+    return out
+
+
 def topics(tokens: DataFrame, vocabulary: dict[str, list[str]], seed: int) -> dict[str, list[np.ndarray]]:
     """For each language MODELS matrices (terms x TOPICS), each topic a distribution over terms, of topic models fitted on the
-    executors to the term vectors of the language's documents. Only these matrices come to the driver."""
+    executors to the term vectors of the language's documents: rounds on random draws find where the topics lie, then PASSES over all
+    documents set them. Only these matrices come to the driver."""
     sizes = {r["lang"]: r["count"] for r in tokens.groupBy("lang").count().collect()}  # at most LANGUAGES + 1 rows
     parallelism = tokens.sparkSession.sparkContext.defaultParallelism
 
@@ -93,7 +154,11 @@ def topics(tokens: DataFrame, vocabulary: dict[str, list[str]], seed: int) -> di
         fitted = list(pool.map(lambda j: fit(*j), jobs))
     for f in features.values():
         f.unpersist()
-    return {lang: [m for (at, _), m in zip(jobs, fitted) if at == lang] for lang in vocabulary}
+    found = {lang: np.array([m for (at, _), m in zip(jobs, fitted) if at == lang]) for lang in vocabulary}
+    for _ in range(PASSES):
+        sums = {lang: x + PRIOR for lang, x in expected(tokens, vocabulary, found).items()}
+        found = {lang: x / x.sum(1, keepdims=True) for lang, x in sums.items()}
+    return {lang: list(x) for lang, x in found.items()}
 
 
 def term_subjects(tokens: DataFrame, labels: DataFrame, vocabulary: dict[str, list[str]], subjects: list[str]) -> dict[str, np.ndarray]:
@@ -172,8 +237,8 @@ class Model:
 def subjects_of(docs: DataFrame, labels: DataFrame, subject_list: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 7) -> DataFrame:
     """(doc_id, subject): each subject of at least an eighth of the document's sentences.
 
-    Null, empty and wordless texts have no subject; whole texts are read. The rounds of the topic models draw from all documents, and
-    the vocabulary's counts are over all documents. Labels other than the listed subjects and `none` tell nothing. A missing or wrong
+    Null, empty and wordless texts have no subject; whole texts are read. The topic models' rounds begin with random draws, but the
+    topics are set by passes over all documents, as the vocabulary's counts are. Labels other than the listed subjects and `none` tell nothing. A missing or wrong
     language only decides whose models the document helps to fit: every text is judged by the topics of all languages. A repeated
     document id gives its subjects once for each row. Subjects that no labelled document of a language has aren't found in it.
     """

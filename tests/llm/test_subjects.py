@@ -77,3 +77,22 @@ def test_empty(spark):
     l = spark.createDataFrame([], "doc_id long, subject string")
     names = spark.createDataFrame([(1, "law")], "subject_id int, subject string")
     assert S.subjects_of(d, l, names).count() == 0
+
+
+def test_topics_come_from_all_documents(spark, small):
+    """The last sums behind the topics hold every word of every document, although a round draws few."""
+    small.setattr(S, "ROUNDS", 2)
+    small.setattr(S, "BATCH_DOCS", 3)
+    small.setattr(S, "LANGUAGE_DOCS", 40)
+    how = random.Random(2)
+    docs = [(i, " ".join(how.choices(WORDS["law" if i % 2 else "music"], k=9)) + " rare" * (i % 60 == 0), "de" if i % 5 == 0 else "en") for i in range(300)]
+    tokens = S.tokenised(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    vocabulary = {"en": sorted({*WORDS["law"], *WORDS["music"]}), "de": sorted({*WORDS["law"], *WORDS["music"], "rare"})}
+    sums, whole = [], S.expected
+    small.setattr(S, "expected", lambda *x: sums.append(whole(*x)) or sums[-1])
+    got = S.topics(tokens, vocabulary, 1)
+    assert len(sums) == S.PASSES
+    for lang, v in vocabulary.items():
+        n = [sum(t.split().count(w) for _, t, g in docs if g == lang) for w in v]
+        assert sums[-1][lang].shape == (S.MODELS, len(v), S.TOPICS) and np.allclose(sums[-1][lang].sum(2), n)
+        assert np.allclose(np.array(got[lang]).sum(1), 1)
