@@ -60,24 +60,29 @@ def knn_set(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, blo
     """(query_id, artifact_id, distance, rank): the k nearest of every query (query_id, embedding), exactly, ties by id.
 
     Queries stand in blocks and vectors in slices; each block meets each slice in a task of its own, which returns k rows a query, so
-    a task holds one block and one slice, whatever the tables' sizes. Null and unusable vectors on either side take no part.
+    a task holds one block and one slice, whatever the tables' sizes, and of what it measured k rows a query. Null and unusable vectors on either side take no part.
     """
     v, q = usable_vectors(vectors, dimensions), queries.select(F.col("query_id").alias("artifact_id"), "embedding")
     q = usable_vectors(q, dimensions)
-    blocks, slices = max(1, -(-q.count() // block)), max(1, -(-v.count() // slice_rows))
+    blocks, slices = max(1, -(-q.count() // block)), max(LEAST_SLICES, -(-v.count() // slice_rows))
     part = lambda n: F.pmod(F.xxhash64("artifact_id"), F.lit(n)).cast("int")
     left = q.withColumn("b", part(blocks)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     right = v.withColumn("s", part(slices)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
         if len(a) and len(b):
-            y, ids = np.stack(b["embedding"]).astype(np.float64), b["artifact_id"].to_numpy()
+            b = b.sort_values("artifact_id")
+            y = np.stack(b["embedding"]).astype(np.float64)
+            ids, first = np.unique(b["artifact_id"].to_numpy(), return_index=True)
             for query, x in zip(a["artifact_id"], a["embedding"]):
                 d = np.round(np.sqrt(((y - np.asarray(x, dtype=np.float64)) ** 2).sum(1)), 6)
-                near = pd.DataFrame({"query_id": query, "artifact_id": ids, "distance": d}).sort_values(["distance", "artifact_id"]).drop_duplicates("artifact_id")
-                out.append(near.head(k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "artifact_id": [], "distance": []}).astype({"query_id": "int64", "artifact_id": "int64", "distance": "float64"})
+                d = np.minimum.reduceat(d, first)
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                near = near[np.lexsort((ids[near], d[near]))[:k]]
+                out.append((np.full(len(near), query), ids[near], d[near]))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pd.DataFrame({"query_id": cols[0], "artifact_id": cols[1], "distance": cols[2]})
 
     met = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(nearest, "query_id long, artifact_id long, distance double")
     w = W.partitionBy("query_id").orderBy("distance", "artifact_id")

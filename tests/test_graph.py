@@ -176,3 +176,11 @@ def test_query_set_of_texts(spark):
     want = {(q, n): tuple(r) for q, t in asked if t for n, r in enumerate(search.bm25(index, t, 5, cands).collect(), 1)}
     assert len(got) == 20 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_query_set_of_vectors_keeps_only_the_nearest(spark):
+    """Small tables are measured by several tasks too; an artifact's repeated vectors count by the nearest."""
+    df = spark.createDataFrame([(i % 40, [float(i), 1.0]) for i in range(120)], "artifact_id long, embedding array<double>")
+    near = search.knn_set(df, spark.createDataFrame([(1, [0.0, 1.0]), (2, [100.0, 1.0])], "query_id long, embedding array<double>"), 3, 2)
+    assert f", {search.LEAST_SLICES})" in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r["rank"], r.artifact_id, r.distance) for r in near.collect()) == [(1, 1, 0, 0.0), (1, 2, 1, 1.0), (1, 3, 2, 2.0), (2, 1, 20, 0.0), (2, 2, 19, 1.0), (2, 3, 21, 1.0)]
