@@ -44,3 +44,11 @@ def test_long_chain_and_empty(spark):
     assert V.survivors(ent, al, prof).select("person").distinct().count() == 1
     ent, al, prof = tables(spark, [], [])
     assert V.same_person_pairs(V.survivors(ent, al, prof)).count() == 0
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver holds each plan: contacts and members that are read several times must not repeat the plans below them."""
+    leaves, cut = [], V.cut
+    monkeypatch.setattr(V, "cut", lambda df: (leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size()), cut(df))[1])
+    V.survivors(*tables(spark, [(1, "Mara Hollikson", {"emails": ["m@x.example"]}, None), (2, "M. Hollikson", {"emails": ["m@x.example"]}, None)], []))
+    assert leaves and max(leaves) <= 8
